@@ -47,3 +47,25 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done and whose frames are gone."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df_path: str, spark: SparkSession) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialise(), and the path to discard()."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
