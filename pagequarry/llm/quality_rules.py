@@ -133,9 +133,13 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, with the columns they had."""
+    """The rows that no rule rejects, with the columns they had.
+
+    A generator drops the others: the optimizer would write all measures out in a filter's condition again and again.
+    """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    return judge(measure(packed, "__text", ("__row",)), rules).where("kept").select("__row.*")
+    judged = judge(measure(packed, "__text", ("__row",)), rules)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
