@@ -251,17 +251,18 @@ class Family:
         return [(self.names[i], least[int(self.part[i])]) for i in range(n)]
 
 
-def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[str]]:
-    """(node, root): sets that link with others, and the least set of their component."""
+def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """(node, root): sets that link with others, and the least set of their component. unique: a row for each set, as linked() makes it."""
     spark = docs.sparkSession
     families, family_path = components(candidates(docs, shingle, percent))
     settle(spark)
-    reps = sets.where(F.col("set").isNotNull()).join(families, F.col("set") == F.col("node")).groupBy("set", "root").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"))
+    reps = unique.join(families, F.col("set") == F.col("node"))
     wanted, wanted_path = materialise_at(reps.select("rep.doc_id", "rep.h", "set", "n", F.col("root").alias("family")), "family-members")
     sizes = wanted.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     blocks = F.ceil(F.col("total") / (FAMILY / 2)).cast("int")
     dealt = wanted.join(sizes.where("members > 1").select("family", F.when(F.col("total") > FAMILY, blocks).otherwise(1).alias("blocks")), "family")
-    one_text = _texts(docs).join(dealt, ["doc_id", "h"]).select("family", "blocks", "set", "text")
+    one_text = _texts(docs).hint("merge").join(dealt, ["doc_id", "h"])  # alike at every size
+    one_text = one_text.select("family", "blocks", "set", "text")
 
     def read(batches):
         done = set()  # rows equal in doc_id and text are one set; a later task may bring it again
@@ -316,9 +317,9 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, h (of the text), n_shingles, component_id (the smallest doc_id reachable by links). doc_id is NO_ID where it is null."""
     sets, _ = materialise_at(sets_of(docs, shingle), "sets")
-    found, _ = links(docs, sets, shingle, percent)
-    least = sets.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("least"))
-    roots = least.join(found, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "least")
+    unique, _ = materialise_at(sets.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")), "unique")
+    found, _ = links(docs, unique, shingle, percent)
+    roots = unique.join(found, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "least")
     per_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = roots.join(per_root, "root").select("set", "component_id")
     return sets.join(of_set, "set", "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
