@@ -209,8 +209,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(vectors: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> Network:
     """From the labelled rows that aren't held out, at most limit of them, those of least hash."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    rows = vectors.where(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "vector").limit(limit).select("vector", "label").collect()
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    n = known.count()
+    if n > limit:  # so few that what reaches the driver doesn't grow with the tasks
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * 1.1 * limit / n))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+    # at most limit rows of 12 bytes
+    rows = vectors.where(~held_out()).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "vector").limit(limit).select("vector", "label").collect()
     x = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float64).reshape(len(rows), WIDTH)
     return Network(x, np.array([r["label"] > 0 for r in rows], np.float64))
 
