@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .grams import slices
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: The pattern can decide a pre-token by so many characters from its start ('ll and the like).
 AHEAD = 3
 
@@ -147,7 +148,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
 
     def whole(batches):
         encoder = Encoder.of(ranks, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = pa.array([encoder.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], "token_ids"])
 
@@ -196,7 +197,7 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None, name: str = "
 
     def decode(batches):
         table = {i: b for b, i in read_ranks(ranks).items()}
-        for b in batches:
+        for b in slices(batches):
             raw = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=[*b.schema.names, name])
 
