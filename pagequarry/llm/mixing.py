@@ -111,7 +111,7 @@ def mix_documents(docs: DataFrame, **mix) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     rows = materialise(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix")
-    return curriculum(rows).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last())
+    return curriculum(rows).select("doc_id", "size", "source_size", "target", "taken", "position", "key").orderBy(F.col("position").asc_nulls_last(), "key").drop("key")
 
 
 ORACLE = r"""
