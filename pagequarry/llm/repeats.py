@@ -26,9 +26,11 @@ def repeated_segments(segments: DataFrame) -> tuple[DataFrame, str]:
     """Those segments, materialised, whose anchor occurs more than once, and the path to discard."""
     spark = segments.sparkSession
     every, path = materialise_at(segments, "segments")
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join stands alone and Spark may split an anchor that very many texts share
+    anchors, anchors_path = materialise_at(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = materialise_at(every.join(anchors, "anchor").select("doc_id", "h", "anchor", "seg", "lo", "hi"), "repeated")
     discard(path, spark)
+    discard(anchors_path, spark)
     del every, anchors
     settle(spark)
     return found
