@@ -121,7 +121,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
         lambda a, i: F.struct((a["total"] + i + WINDOW - F.greatest(i, a["end"])).alias("total"), (i + WINDOW).alias("end")),
         lambda a: a["total"],
     )
-    return placed.select(*own(*plain, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))
+    # behind a generator the measures are columns: a filter on them isn't written out in all that made them
+    made = F.struct(*plain, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return placed.select(*own(F.explode(F.array(made)).alias("__made"))).select(*own("__made.*"))
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,13 +135,10 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, with the columns they had.
-
-    A generator drops the others: the optimizer would write all measures out in a filter's condition again and again.
-    """
+    """The rows that no rule rejects, with the columns they had."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
     judged = judge(measure(packed, "__text", ("__row",)), rules)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
+    return judged.where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
