@@ -31,7 +31,7 @@ from .grams import mix, signed, slices, winnow
 from .repeats import SEGMENTS, identified, repeated_segments
 from .warc import open_fs
 
-WINDOW, SYMBOL, SEED = 400, 100, 16
+WINDOW, SYMBOL, SEED = 400, 200, 16
 #: Different segments of an anchor that one task sorts, and bytes of segments that it sorts at a time.
 GROUP, BATCH = 8_000, 1 << 20
 #: Windows of a text that are winnowed at a time.
