@@ -70,10 +70,10 @@ def logtime_invalid(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", filetime("raw").alias("filetime"), F.coalesce(log_time_error("raw"), F.lit("-")).alias("error"))
 
 
-def _headers(spark, sf, revision=F.lit(20), version=F.lit(0x620), state_value=F.lit(3)) -> DataFrame:
+def _headers(spark, sf, revision=20, version=0x620, state_value=3) -> DataFrame:
     """A 668-byte header for each customer: every number field is the key plus its place in the list, every instant 1900-01-01 plus the key's seconds."""
     c = _table(spark, sf, "customer")
-    own = {"version": version, "file_format_revision": revision, "state": state_value, "page_size": F.lit(4096)}
+    own = {"version": version, "file_format_revision": revision, "state": state_value, "page_size": 4096}
     parts = []
     for i, (name, offset, kind) in enumerate(FIELDS):
         value = own.get(name, F.col("c_custkey") + i)
