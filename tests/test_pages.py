@@ -12,6 +12,8 @@ from pagequarry.operators.header import decode_headers
 from pagequarry.operators.page import decode_pages, tag
 from pagequarry.plans import queries as Q
 from pagequarry.plans.sql import register_views
+from pagequarry.sources.pages import binary_pages, read_files, read_pages, write_debug
+from pagequarry.streaming import stream_pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +123,34 @@ def test_query(spark, name):
     got = sorted((tuple(r) for r in df.select(names).collect()), key=key)
     want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({Q.ORACLES[name]})").fetchall(), key=key)
     assert got == want
+
+
+def three_pages(folder):
+    image = bytearray(4096)
+    for offset, value in ((8, 0x620), (232, 20), (236, 4096)):
+        struct.pack_into("<I", image, offset, value)
+    folder.mkdir()
+    (folder / "a.edb").write_bytes(bytes(image) * 2 + bytes(4096) * 3)
+    return str(folder)
+
+
+def test_stream(spark, tmp_path):
+    query = stream_pages(spark, three_pages(tmp_path / "in")).select("page_number", "valid").writeStream.format("memory").queryName("streamed").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("streamed").collect())) == [(1, True), (2, True), (3, True)]
+
+
+def test_pushdown_and_debug_text(spark, tmp_path):
+    path = three_pages(tmp_path / "in")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = read_pages(spark, path, pages_per_partition=1).where("page_number = 2")
+        assert rows.count() == 1 and rows.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert read_pages(spark, path, pages_per_partition=1).rdd.getNumPartitions() == 3
+    whole = binary_pages(read_files(spark, path))
+    assert sorted(map(tuple, whole.select("page_number", "page_size").collect())) == [(1, 4096), (2, 4096), (3, 4096)]
+    write_debug(rows.select("page_number"), "page", str(tmp_path / "text"))
+    assert spark.read.text(str(tmp_path / "text"), wholetext=True).where("value <> ''").first()[0] == '----page----\n{"page_number":2}\n'
