@@ -3,11 +3,14 @@
 A document's set is that of its distinct shingles (hashes of ``shingle`` words, A-Z as a-z). Documents of
 sizes that can be alike meet in a size band. For a band whose pairs differ in at most D shingles a
 sketch is P parts of 65,536 bits; every shingle flips one bit of one part. Two sketches differ in at
-most as many bits, so in as many parts, as the sets have unlike members: with P = D + 1 + spare, at
-least 1 + spare parts of two documents that link are equal (pigeonhole). Parts without a bit set say
-nothing and are left out where they are at most ``spare``; then too an equal part with bits remains. Documents are joined on
-(band, part, its bits): in each task first, where likes are tied to the least of them and only that
-one goes on, then once for each key: a key of any number of documents costs a row for each task.
+most as many bits, so in as many parts, as the sets have unlike members: with P = D + 1 + D / 2, two
+documents that link have more than P - 1 - d equal parts, d being what the one at hand can differ by (pigeonhole).
+A key is (band, part, its bits). First each document learns which of its keys another one has too; all
+parts of one order (fewest bits first, then by key), it drops the P - 1 - d least of these: of the equal parts
+of two that link the last one stays on both sides, while a document that only shares passages has
+few equal parts and mostly keeps none. Documents are then joined on the keys that stay: in each task
+first, where likes are tied to the least of them and only that one goes on, then once for each key. A
+key of any number of documents costs a row for each task.
 
 What the keys tie together is a family (connected components). All links lie within families. A family is
 verified on the shingles themselves: least frequent first, documents that share a prefix shingle
@@ -44,7 +47,11 @@ TASK_KEYS = 1 << 20
 #: Shingles of a family that one task verifies.
 FAMILY = 4_000_000
 WIDTH = np.uint64(1 << 16)
-BUCKETS = 1 << 12
+LOW48, SEVEN = np.uint64((1 << 48) - 1), np.uint64(7)
+#: What goes to a bucket: a key and the one set of a chunk that has it, a key of several, a set's key, a set.
+PACKED = "bucket int, kind int, rows binary"
+SINGLE, FLAG, MEMBER, NODE = range(4)
+NODES = np.dtype([("node", "<u8"), ("set", "<i8"), ("spare", "<i4")])
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -74,20 +81,30 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
         self._of = np.array(self.edges)
 
-    def of(self, size: int) -> list[int]:
-        """The band of a size, and the next if a link can reach it."""
-        own = int(np.searchsorted(self._of, size, "right")) - 1
-        return [own, own + 1] if size * 100 // self.percent >= self.edges[own + 1] else [own]
+    def of(self, size: int) -> range:
+        """The bands of a size and of all larger ones that it can link with."""
+        own, last = np.searchsorted(self._of, (size, size * 100 // self.percent), "right").tolist()
+        return range(own - 1, last)
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(P, spare). Unlike members d of two linked sets of sizes a and b: d * (100 + percent) <= (100 - percent) * (a + b)."""
-        most = (100 - self.percent) * 2 * (self.edges[band + 1] - 1) // (100 + self.percent)
-        spare = most // 16
-        return most + 1 + spare, spare
+    def differ(self, a: int, b: int) -> int:
+        """Most unlike members d of two linked sets of sizes a and b: d * (100 + percent) <= (100 - percent) * (a + b)."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
 
+    def parts(self, band: int) -> int:
+        """One more than a pair of the band can differ in, and half as many to choose from."""
+        most = self.differ(self.edges[band + 1] - 1, self.edges[band + 1] - 1)
+        return most + 1 + most // 2
 
-def part_keys(found: np.ndarray, band: int, parts: int, spare: int) -> np.ndarray:
-    """A key for each part of the parity sketch of a set."""
+    def spare(self, size: int, band: int) -> int:
+        """A set of this size has more equal parts than so many with each that it links with in the band."""
+        return self.parts(band) - 1 - self.differ(size, max(size, min(size * 100 // self.percent, self.edges[band + 1] - 1)))
+
+
+def part_keys(found: np.ndarray, band: int, parts: int, spare: int) -> tuple[np.ndarray, int]:
+    """A key for each part of the parity sketch of a set, its lowest three bits the bits set (7: or more), and how many parts must be dropped.
+
+    Parts without a bit come first of those to drop; where they are no more than spare they get no keys.
+    """
     seeded = mix(found ^ np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64))
     codes = (seeded >> np.uint64(32)) % np.uint64(parts) * WIDTH + (seeded & (WIDTH - np.uint64(1)))
     codes, n = np.unique(codes, return_counts=True)
@@ -95,12 +112,49 @@ def part_keys(found: np.ndarray, band: int, parts: int, spare: int) -> np.ndarra
     part = (codes // WIDTH).astype(np.int64)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, part, mix(codes + np.uint64(band << 48)))
-    which = np.arange(parts)
-    full = np.zeros(parts, bool)
-    full[part] = True
-    if parts - int(full.sum()) <= spare:
-        which, sums = which[full], sums[full]
-    return mix(sums + (which.astype(np.uint64) << np.uint64(8)) * MIX1 + np.uint64(band + 1))
+    which, held = np.arange(parts), np.bincount(part, minlength=parts)
+    empty = int((held == 0).sum())
+    if empty <= spare:
+        which, sums, held, spare = which[held > 0], sums[held > 0], held[held > 0], spare - empty
+    keys = mix(sums + (which.astype(np.uint64) << np.uint64(8)) * MIX1 + np.uint64(band + 1))
+    return keys & ~SEVEN | np.minimum(held, 7).astype(np.uint64), spare
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """The lower 48 bits of each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widen(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def by_bucket(buckets: np.ndarray, kind: int, *columns: np.ndarray) -> tuple[list, list, list]:
+    """(buckets, kinds, rows): the bytes of each bucket's columns one after the other, unsigned ones narrowed."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, columns = buckets[order], [c[order] for c in columns]
+    found, starts = np.unique(buckets, return_index=True)
+    if not len(found):
+        return [], [], []
+    rows = [b"".join(narrow(c) if c.dtype == np.uint64 else c.tobytes() for c in piece) for piece in zip(*(np.split(c, starts[1:]) for c in columns), strict=True)]
+    return found.tolist(), [kind] * len(rows), rows
+
+
+def packed(*parts: tuple[list, list, list]) -> Iterator[pa.RecordBatch]:
+    buckets, kinds, rows = ([x for p in parts for x in p[i]] for i in range(3))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "kind", "rows"])
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by a, then b."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def tie(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,28 +184,38 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     return _texts(docs).mapInArrow(make, "doc_id long, h long, n_shingles long, set long")
 
 
-def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (a, b) between sets: those with an equal key are connected through them."""
-    bands = Bands(percent)
-    schema = "bucket int, kind int, rows binary"
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-
-    def send(keys, sets, edges) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(keys >> shift, kind="stable")
-        keys, sets = keys[order], sets[order]
-        buckets, starts = np.unique((keys >> shift).astype(np.int32), return_index=True)
-        rows = [np.concatenate((k, s.view(np.uint64))).tobytes() for k, s in zip(np.split(keys, starts[1:]), np.split(sets, starts[1:]), strict=True)] if len(keys) else []
-        kinds = [0] * len(rows)
-        buckets = buckets.tolist() if len(keys) else []
-        if len(edges):
-            buckets.append(int(edges[0, 0]) % BUCKETS)
-            kinds.append(1)
-            rows.append(edges.tobytes())
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "kind", "rows"])
+def shared_keys(docs: DataFrame, shingle: int, percent: int, bits: int) -> DataFrame:
+    """Packed (node, key) for each part that a set shares with another one, and (node, set, spare) for each node: a set in a band.
+
+    A key that several sets of a chunk have is told at once to each of them, and goes on as one row that only
+    says so; the others go to their key's bucket. So a key of any number of sets costs its bucket a row a chunk.
+    """
+    bands, top = Bands(percent), np.uint64(64 - bits)
+    known = np.uint64(((1 << bits) - 1) << (64 - bits)) | LOW48
+
+    def spread(keys, nodes, sets):
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+        alone = n[at] == 1
+        told = keys[~alone]
+        flags = np.unique(told)
+        anywhere = (nodes[~alone] % np.uint64(1 << bits)).astype(np.int64)
+        own = (sets["node"] % np.uint64(1 << bits)).astype(np.int64)
+        yield from packed(
+            by_bucket((keys[alone] >> top).astype(np.int64), SINGLE, keys[alone], nodes[alone]),
+            by_bucket((flags >> top).astype(np.int64), FLAG, flags),
+            by_bucket(anywhere, MEMBER, nodes[~alone], told.view(np.int64)),
+            by_bucket(own, NODE, sets),
+        )
 
     def make(batches):
-        held_keys, held_sets, size, seen = [], [], 0, set()
+        held, size, seen = [], 0, set()
+
+        def flush():
+            sets = np.array([h[:3] for h in held], NODES)
+            return spread(np.concatenate([h[3] for h in held]), np.repeat(sets["node"], [len(h[3]) for h in held]), sets)
+
         for b in slices(batches):
             for text in b.column(0).to_pylist():
                 found = shingles(text, shingle)
@@ -161,42 +225,135 @@ def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     seen.clear()
                 seen.add(own)
                 for band in bands.of(len(found)):
-                    keys = part_keys(found, band, *bands.parts(band))
-                    held_keys.append(keys)
-                    held_sets.append(np.full(len(keys), own, np.int64))
+                    keys, spare = part_keys(found, band, bands.parts(band), bands.spare(len(found), band))
+                    node = int(mix(np.array([own], np.int64).view(np.uint64) + np.uint64(band))[0] & LOW48)
+                    held.append((node, own, spare, keys & known))
                     size += len(keys)
             if size >= TASK_KEYS:
-                yield from send(*tie(np.concatenate(held_keys), np.concatenate(held_sets)))
-                held_keys, held_sets, size = [], [], 0
-        if size:
-            yield from send(*tie(np.concatenate(held_keys), np.concatenate(held_sets)))
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def meet(batches):
+        now, singles, flags = None, [], []
+        members, nodes, size = [], [], 0
+
+        def shared():
+            raw = [(widen(r[: len(r) // 2]), widen(r[len(r) // 2 :])) for r in singles]
+            if not raw:
+                return []
+            keys, who = distinct_pairs(np.concatenate([x for x, _ in raw]), np.concatenate([x for _, x in raw]))
+            _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            found = (n[at] > 1) | np.isin(keys, widen(b"".join(flags)))
+            return [(who[found], (keys[found] | np.uint64(now << (64 - bits))).view(np.int64))]
+
+        def send():
+            yield from packed((*zip(*nodes, strict=True),) if nodes else ([], [], []))
+            if members:
+                who, keys = (np.concatenate(c) for c in zip(*members, strict=True))
+                yield from packed(by_bucket((who % np.uint64(1 << bits)).astype(np.int64), MEMBER, who, keys))
+
+        for b in batches:
+            for bucket, kind, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    found = shared()
+                    members += found
+                    size += sum(len(x) for x, _ in found)
+                    now, singles, flags = bucket, [], []
+                if kind == NODE:
+                    nodes.append((bucket, NODE, rows))
+                    size += len(rows) // NODES.itemsize
+                elif kind == MEMBER:
+                    cut = len(rows) * 6 // 14
+                    members.append((widen(rows[:cut]), np.frombuffer(rows[cut:], np.int64)))
+                    size += len(members[-1][0])
+                else:
+                    (singles if kind == SINGLE else flags).append(rows)
+            if size >= TASK_KEYS:
+                yield from send()
+                members, nodes, size = [], [], 0
+        members += shared()
+        yield from send()
+
+    n = shuffle_partitions(docs.sparkSession)
+    sent = _texts(docs).select("text").mapInArrow(make, PACKED)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PACKED)
+
+
+def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Edges (a, b) between sets: those with an equal key that both keep are connected through them."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+    bits = max(12, (n - 1).bit_length())
+    top = np.uint64(64 - bits)
+
+    def send(keys, sets, edges) -> Iterator[pa.RecordBatch]:
+        whole = np.empty(len(keys), [("key", "<u8"), ("set", "<i8")])
+        whole["key"], whole["set"] = keys, sets
+        out = [by_bucket((keys >> top).astype(np.int64), SINGLE, whole)]
+        if len(edges):
+            out.append(([int(edges[0, 0]) % (1 << bits)], [MEMBER], [edges.tobytes()]))
+        return packed(*out)
+
+    def choose(batches):
+        """The keys that a set keeps: all that it shares but the spare least, by bits set."""
+        now, members, nodes = None, [], []
+        held, size = [], 0
+
+        def chosen():
+            if not members or not nodes:
+                return []
+            raw = [(widen(r[: len(r) * 6 // 14]), np.frombuffer(r[len(r) * 6 // 14 :], np.uint64)) for r in members]
+            keys = np.concatenate([x for _, x in raw])
+            of, keys = distinct_pairs(np.concatenate([x for x, _ in raw]), keys >> np.uint64(3) | (keys & SEVEN) << np.uint64(61))
+            sets = np.unique(np.frombuffer(b"".join(nodes), NODES))
+            lo, hi = np.searchsorted(of, sets["node"], "left") + sets["spare"], np.searchsorted(of, sets["node"], "right")
+            sets, lo, hi = (x[lo < hi] for x in (sets, lo, hi))
+            many = hi - lo
+            at = np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many)
+            return [(keys[at] << np.uint64(3) | keys[at] >> np.uint64(61), np.repeat(sets["set"], many))] if len(at) else []
+
+        for b in batches:
+            for bucket, kind, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    found = chosen()
+                    held += found
+                    size += sum(len(x) for x, _ in found)
+                    now, members, nodes = bucket, [], []
+                (nodes if kind == NODE else members).append(rows)
+            if size >= TASK_KEYS:
+                yield from send(*tie(*(np.concatenate(c) for c in zip(*held, strict=True))))
+                held, size = [], 0
+        held += chosen()
+        if held:
+            yield from send(*tie(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
     def meet(batches):
-        now, keys, sets = None, [], []
+        now, met = None, []
 
         def edges_of():
-            if not keys:
+            if not met:
                 return []
-            e = tie(np.concatenate(keys), np.concatenate(sets))[2]
+            whole = np.frombuffer(b"".join(met), [("key", "<u8"), ("set", "<i8")])
+            e = tie(whole["key"], whole["set"])[2]
             return [pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])] if len(e) else []
 
         for b in batches:
             for bucket, kind, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind:
+                if kind == MEMBER:
                     e = np.frombuffer(rows, np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
                     continue
                 if bucket != now:
                     yield from edges_of()
-                    now, keys, sets = bucket, [], []
-                got = np.frombuffer(rows, np.uint64).reshape(2, -1)
-                keys.append(got[0])
-                sets.append(got[1].view(np.int64))
+                    now, met = bucket, []
+                met.append(rows)
         yield from edges_of()
 
-    n = shuffle_partitions(docs.sparkSession)
-    sent = _texts(docs).select("text").mapInArrow(make, schema)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    known = shared_keys(docs, shingle, percent, bits)
+    kept = known.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(choose, PACKED)
+    return kept.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 class Family:
