@@ -141,6 +141,51 @@ def test_jaccard(docs, rows, monkeypatch, k, percent, family):
         assert jaccard_join.keep_one(docs, k, percent).count() == groups
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_kept_keys_meet(percent):
+    """Two sets that just link keep an equal key, even where others have every key of theirs."""
+    rng, bands, met = np.random.default_rng(percent), jaccard_join.Bands(percent), 0
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        union = rng.integers(0, 2**63, size, dtype=np.uint64)
+        apart = rng.permutation(size)[: size * (100 - percent) // 100]
+        cut = int(rng.integers(0, len(apart) + 1))
+        sets = [np.delete(union, part) for part in (apart[:cut], apart[cut:])]
+        kept = []
+        for x in sets:
+            kept.append(set())
+            for band in bands.of(len(x)):
+                keys, spare = jaccard_join.part_keys(x, band, bands.parts(band), bands.spare(len(x), band))
+                kept[-1] |= set(sorted(keys.tolist(), key=lambda k: (k & 7, k >> 3))[spare:])
+        assert kept[0] & kept[1], (size, len(apart), cut)
+        met += len(apart) > 0
+    assert met > 300
+
+
+def test_shared_keys_across_tasks(spark, rows):
+    """Sets that link are tied to each other, whichever tasks they are in."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute.jaccard(rows, 5, 80)
+    docs = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType()), StructField("text", StringType())])).repartition(7, F.rand(1))
+    edges = [(r.a, r.b) for r in jaccard_join.candidates(docs, 5, 80).collect()]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[top(a)] = top(b)
+    of = {}
+    for (_, n, c), (_, t) in zip(want, rows, strict=True):
+        if n:
+            of.setdefault(c, set()).add(top(jaccard_join.identity(jaccard_join.shingles(t.encode(), 5))))
+    assert all(len(x) == 1 for x in of.values())
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.linked(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
 
