@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .grams import slices
+from .grams import lean, slices
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
@@ -182,10 +182,10 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
 
         return pa.table({"key": group.column("key").slice(0, 1), "token_ids": pa.array([stitch(read(), encoder)], pa.binary())})
 
-    short = rows.where(~is_long).mapInArrow(whole, schema)
+    short = rows.where(~is_long).mapInArrow(lean(whole), schema)
     longer = rows.where(is_long).withColumn("__key", F.sha2("__text", 256))
     texts = longer.groupBy("__key").agg(F.first("__text").alias("text"))
-    pieces = texts.mapInArrow(cut_up, "key string, n int, start long, part string, last boolean").repartition("key", "n").mapInArrow(split, "key string, n int, start long, part string, last boolean, bounds binary, counts binary, ids binary")
+    pieces = texts.mapInArrow(lean(cut_up), "key string, n int, start long, part string, last boolean").repartition("key", "n").mapInArrow(lean(split), "key string, n int, start long, part string, last boolean, bounds binary, counts binary, ids binary")
     joined = pieces.groupBy("key").applyInArrow(join, "key string, token_ids binary")  # a group is one document
     return short.unionByName(longer.drop("__text").join(joined.withColumnRenamed("key", "__key"), "__key").drop("__key"))
 
@@ -201,7 +201,7 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None, name: str = "
             raw = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=[*b.schema.names, name])
 
-    return encoded.mapInArrow(decode, encoded.select("*").schema.add(name, "binary"))
+    return encoded.mapInArrow(lean(decode), encoded.select("*").schema.add(name, "binary"))
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:

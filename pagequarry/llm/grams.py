@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,27 @@ def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, rows)
 
 
+def lean(work: Callable) -> Callable:
+    """work, for mapInArrow, in a worker that gives what it used back to the system.
+
+    Spark keeps idle workers, a few for each core, beside those that run: what their allocators hold
+    would count against the executor. Arrays of over 1 MB come from the system and return to it at once.
+    """
+
+    def run(batches):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX2
     x = (x ^ (x >> np.uint64(27))) * MIX1

@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, materialise_at, settle, shuffle_partitions, text_or_empty
 from .components import components
-from .grams import MIX1, mix, signed, slices, words
+from .grams import MIX1, lean, mix, signed, slices, words
 
 SHINGLE, PERCENT = 5, 80
 #: Documents whose keys a task joins among themselves before it sends them on.
-TASK_KEYS = 1 << 20
+TASK_KEYS = 1 << 19
 #: Shingles of a family that one task verifies.
 FAMILY = 4_000_000
 WIDTH = np.uint64(1 << 16)
@@ -181,7 +181,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
             found = [shingles(t, shingle) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([identity(x) if len(x) else None for x in found], pa.int64())], names=["doc_id", "h", "n_shingles", "set"])
 
-    return _texts(docs).mapInArrow(make, "doc_id long, h long, n_shingles long, set long")
+    return _texts(docs).mapInArrow(lean(make), "doc_id long, h long, n_shingles long, set long")
 
 
 def shared_keys(docs: DataFrame, shingle: int, percent: int, bits: int) -> DataFrame:
@@ -221,7 +221,7 @@ def shared_keys(docs: DataFrame, shingle: int, percent: int, bits: int) -> DataF
                 found = shingles(text, shingle)
                 if not len(found) or (own := identity(found)) in seen:
                     continue
-                if len(seen) >= 1 << 20:
+                if len(seen) >= 1 << 17:
                     seen.clear()
                 seen.add(own)
                 for band in bands.of(len(found)):
@@ -277,8 +277,8 @@ def shared_keys(docs: DataFrame, shingle: int, percent: int, bits: int) -> DataF
         yield from send()
 
     n = shuffle_partitions(docs.sparkSession)
-    sent = _texts(docs).select("text").mapInArrow(make, PACKED)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PACKED)
+    sent = _texts(docs).select("text").mapInArrow(lean(make), PACKED)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), PACKED)
 
 
 def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -352,8 +352,8 @@ def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         yield from edges_of()
 
     known = shared_keys(docs, shingle, percent, bits)
-    kept = known.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(choose, PACKED)
-    return kept.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    kept = known.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(choose), PACKED)
+    return kept.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "a long, b long")
 
 
 class Family:
@@ -429,7 +429,7 @@ def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tup
                 if own in done:
                     continue
                 done.add(own)
-                if len(done) > 1 << 20:
+                if len(done) > 1 << 17:
                     done.clear()
                 found = shingles(text, shingle).tobytes()
                 if count == 1:
@@ -463,8 +463,8 @@ def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tup
         yield from done()
 
     # a family's block pair comes whole to one task; FAMILY bounds it
-    members = one_text.mapInArrow(read, "family long, one int, two int, own long, found binary")
-    edges = members.repartition(shuffle_partitions(spark), "family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(verify, "a long, b long")
+    members = one_text.mapInArrow(lean(read), "family long, one int, two int, own long, found binary")
+    edges = members.repartition(shuffle_partitions(spark), "family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(lean(verify), "a long, b long")
     found, path = components(edges)
     for p in (family_path, wanted_path):
         discard(p, spark)

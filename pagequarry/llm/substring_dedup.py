@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise_at, settle, text_or_empty
-from .grams import runs_of, signed, slices, winnow, words
+from .grams import lean, runs_of, signed, slices, winnow, words
 from .repeats import SEGMENTS, identified, repeated_segments
 
 WINDOW, SEED = 50, 8
@@ -59,7 +59,7 @@ def segments(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "h", "anchor", "seg", "lo", "hi"])
 
-    return identified(docs).mapInArrow(make, SEGMENTS)
+    return identified(docs).mapInArrow(lean(make), SEGMENTS)
 
 
 def extend(group: list[tuple[int, int, int, list[bytes]]], window: int, seed: int) -> list[tuple[int, int]]:
@@ -133,7 +133,7 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gro
     # an identifier may have several texts, and a text several rows: one of them is read
     texts = identified(docs)
     once = texts.join(per_text, ["doc_id", "h"]).select("doc_id", "text", "segs")
-    parts = once.mapInArrow(read, "anchor long, seg long, doc_id long, n long, at int, words binary")
+    parts = once.mapInArrow(lean(read), "anchor long, seg long, doc_id long, n long, at int, words binary")
 
     def resolve(batches):
         now, members = None, {}
@@ -171,9 +171,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gro
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "anchor", "seg", "doc_id", "w"])
 
     small = parts.where(F.col("n") <= group).select("anchor", "seg", "doc_id", "at", "words").repartition("anchor").sortWithinPartitions("anchor")
-    bits = small.mapInArrow(resolve, "anchor long, seg long, bits long")
+    bits = small.mapInArrow(lean(resolve), "anchor long, seg long, bits long")
     if groups.where(F.col("n") > group).limit(1).count():
-        single, _ = materialise_at(parts.where(F.col("n") > group).select("anchor", "seg", "doc_id", "at", "words").mapInArrow(one_by_one, "key binary, anchor long, seg long, doc_id long, w int"), "windows")
+        single, _ = materialise_at(parts.where(F.col("n") > group).select("anchor", "seg", "doc_id", "at", "words").mapInArrow(lean(one_by_one), "key binary, anchor long, seg long, doc_id long, w int"), "windows")
         earliest = single.groupBy("key").agg(F.min("doc_id").alias("first"))
         late = single.join(earliest, "key").where("first < doc_id").groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(1L, w))").alias("bits"))
         bits = bits.unionByName(late)
@@ -218,7 +218,7 @@ def judged(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
                 out.append((doc_id, len(ws), len(ws) - len(kept), b" ".join(kept)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
@@ -255,7 +255,7 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=docs_schema.names).filter(pa.array(keep))
 
     docs_schema = docs.schema
-    return joined.mapInArrow(cut, docs_schema)
+    return joined.mapInArrow(lean(cut), docs_schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
