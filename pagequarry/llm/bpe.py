@@ -84,10 +84,14 @@ class Encoder:
 
         self.pattern = regex.compile(pattern)
         self.pieces = Pieces(ranks, pattern)
+        self.bytes_of = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+
     def chunk(self, start: int, text: str, last: bool) -> Chunk:
         """Pre-tokens that are sure whatever follows the chunk, and their ids."""
         ends, found = [0], []
@@ -137,20 +141,27 @@ def stitch(chunks: Iterator[Chunk], encoder: Encoder) -> bytes:
     return b"".join([*out, *here.ids[since:]])
 
 
-def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """The kept columns and token_ids."""
-    if "token_ids" in keep:
-        raise ValueError("token_ids is the name of the result")
+def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+    """The kept columns and token_ids; decoded: name of one more column, the bytes that the ids stand for, from the same worker."""
+    results = ["token_ids", decoded][: 1 + bool(decoded)]
+    if {*results} & {*keep} or len({*results}) < len(results):
+        raise ValueError(f"{results} are the names of the results")
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_or_empty(f"`{text}`").alias("__text"))
     is_long = F.length("__text") > chunk_chars + overlap_chars
-    schema = rows.drop("__text").schema.add("token_ids", "binary")
+    schema = rows.drop("__text").schema
+    for name in results:
+        schema = schema.add(name, "binary")
+
+    def made(encoder: Encoder, ids: list[bytes]) -> list[pa.Array]:
+        """The result columns."""
+        return [pa.array(c, pa.binary()) for c in (ids, [encoder.decode(x) for x in ids] if decoded else [])][: len(results)]
 
     def whole(batches):
         encoder = Encoder.of(ranks, pattern)
         for b in slices(batches):
-            ids = pa.array([encoder.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], "token_ids"])
+            ids = [encoder.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made(encoder, ids)], names=[*b.schema.names[:-1], *results])
 
     def cut_up(batches):
         for b in batches:
@@ -180,13 +191,13 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
                     at += 4 * n
                 yield Chunk(r["start"], r["part"], r["last"], list(array("I", r["bounds"])), ids)
 
-        return pa.table({"key": group.column("key").slice(0, 1), "token_ids": pa.array([stitch(read(), encoder)], pa.binary())})
+        return pa.table([group.column("key").slice(0, 1), *made(encoder, [stitch(read(), encoder)])], names=["key", *results])
 
     short = rows.where(~is_long).mapInArrow(lean(whole), schema)
     longer = rows.where(is_long).withColumn("__key", F.sha2("__text", 256))
     texts = longer.groupBy("__key").agg(F.first("__text").alias("text"))
     pieces = texts.mapInArrow(lean(cut_up), "key string, n int, start long, part string, last boolean").repartition("key", "n").mapInArrow(lean(split), "key string, n int, start long, part string, last boolean, bounds binary, counts binary, ids binary")
-    joined = pieces.groupBy("key").applyInArrow(join, "key string, token_ids binary")  # a group is one document
+    joined = pieces.groupBy("key").applyInArrow(join, "key string, " + ", ".join(f"`{c}` binary" for c in results))  # a group is one document
     return short.unionByName(longer.drop("__text").join(joined.withColumnRenamed("key", "__key"), "__key").drop("__key"))
 
 
@@ -205,8 +216,8 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None, name: str = "
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
-    decoded = decode_documents(encode_documents(docs, **how), how.get("ranks"))
-    return decoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_documents(docs, decoded="decoded", **how)
+    return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from .grams import MIX1, lean, mix, signed, slices, words
 
 SHINGLE, PERCENT = 5, 80
 #: Documents whose keys a task joins among themselves before it sends them on.
-TASK_KEYS = 1 << 19
+TASK_KEYS = 1 << 18
 #: Shingles of a family that one task verifies.
 FAMILY = 4_000_000
 WIDTH = np.uint64(1 << 16)
