@@ -5,9 +5,10 @@ sizes that can be alike meet in a size band. For a band whose pairs differ in at
 sketch is P parts of 65,536 bits; every shingle flips one bit of one part. Two sketches differ in at
 most as many bits, so in as many parts, as the sets have unlike members: with P = D + 1 + D / 2, two
 documents that link have more than P - 1 - d equal parts, d being what the one at hand can differ by (pigeonhole).
-A key is (band, part, its bits). First each document learns which of its keys another one has too; all
-parts of one order (fewest bits first, then by key), it drops the P - 1 - d least of these: of the equal parts
-of two that link the last one stays on both sides, while a document that only shares passages has
+A key is (band, part, its bits). First each document learns which of its keys another one has too (parts
+without bits count as shared by all); all parts of one order (fewest bits first, then by key), it drops
+the P - 1 - d least of these: the equal parts of two that link are among the shared ones of both, and more than
+either drops, so the last of them stays on both sides, while a document that only shares passages has
 few equal parts and mostly keeps none. Documents are then joined on the keys that stay: in each task
 first, where likes are tied to the least of them and only that one goes on, then once for each key. A
 key of any number of documents costs a row for each task.
@@ -101,9 +102,11 @@ class Bands:
 
 
 def part_keys(found: np.ndarray, band: int, parts: int, spare: int) -> tuple[np.ndarray, int]:
-    """A key for each part of the parity sketch of a set, its lowest three bits the bits set (7: or more), and how many parts must be dropped.
+    """A key for each part of the parity sketch of a set, its lowest three bits the bits set (7: or more), and how many of the shared ones must be dropped.
 
-    Parts without a bit come first of those to drop; where they are no more than spare they get no keys.
+    Parts without a bit come first of those to drop, by their keys, and always count as shared: a set drops as
+    many of its own as it may, whether or not any other has them, and they get no keys. So what two sets have
+    in common is counted alike on both sides.
     """
     seeded = mix(found ^ np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64))
     codes = (seeded >> np.uint64(32)) % np.uint64(parts) * WIDTH + (seeded & (WIDTH - np.uint64(1)))
@@ -112,12 +115,11 @@ def part_keys(found: np.ndarray, band: int, parts: int, spare: int) -> tuple[np.
     part = (codes // WIDTH).astype(np.int64)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, part, mix(codes + np.uint64(band << 48)))
-    which, held = np.arange(parts), np.bincount(part, minlength=parts)
-    empty = int((held == 0).sum())
-    if empty <= spare:
-        which, sums, held, spare = which[held > 0], sums[held > 0], held[held > 0], spare - empty
-    keys = mix(sums + (which.astype(np.uint64) << np.uint64(8)) * MIX1 + np.uint64(band + 1))
-    return keys & ~SEVEN | np.minimum(held, 7).astype(np.uint64), spare
+    held = np.bincount(part, minlength=parts)
+    keys = mix(sums + (np.arange(parts, dtype=np.uint64) << np.uint64(8)) * MIX1 + np.uint64(band + 1))
+    keys = keys & ~SEVEN | np.minimum(held, 7).astype(np.uint64)
+    empty = np.sort(keys[held == 0])
+    return np.concatenate((keys[held > 0], empty[spare:])), max(0, spare - len(empty))
 
 
 def narrow(x: np.ndarray) -> bytes:
