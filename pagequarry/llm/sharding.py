@@ -125,9 +125,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", tolerance:
 
 
 def shard_documents(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """Write whole documents into path/shard=N. Counting reads only what the keys need; the texts move once. docs must read alike each time (a table)."""
+    """Write whole documents into path/shard=N. The rows are written with their keys first, so docs is read once; counting reads only the keys, and the texts move once."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id"), F.col(f"`{text}`").alias("__text"))
-    rows = keyed(packed, "__text", ("__row",))
+    rows = materialise(keyed(packed, "__text", ("__row",)), "shard-rows")
     at, cells = histogram(rows, shards, tolerance)
     dealt = docs.sparkSession.createDataFrame(deal(cells, shards) or [("", 0, 0)], "cell string, shard int, first long")
     out = at.join(F.broadcast(dealt), "cell").select("__row", "shard", "cell")
