@@ -112,8 +112,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gro
     found, path = repeated_segments(segments(docs, window, seed))
     alike = found.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "h", "lo", "hi")).alias("rep"))
     alike, alike_path = materialise_at(alike.select("anchor", "seg", "rep.*"), "alike")
-    groups = alike.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    needed = alike.join(groups.select("anchor", "n"), "anchor")
+    # written, here and below, so that a join stands alone and Spark may split an anchor or a segment that very many texts share
+    groups, groups_path = materialise_at(alike.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    needed = alike.join(groups, "anchor")
     per_text = needed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "seg", "lo", "hi", "n")).alias("segs"))  # a text's own segments
 
     def read(batches):
@@ -180,12 +181,12 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gro
     bits, bits_path = materialise_at(bits, "bits")
     settle(spark)
     # a later copy of a segment loses all its windows, the first those in bits
-    info = alike.select("anchor", "seg", F.col("doc_id").alias("first")).join(bits, ["anchor", "seg"], "left")
+    info, info_path = materialise_at(alike.select("anchor", "seg", F.col("doc_id").alias("first")).join(bits, ["anchor", "seg"], "left"), "info")
     lost = found.join(info, ["anchor", "seg"]).where((F.col("doc_id") > F.col("first")) | F.col("bits").isNotNull())
     lost = lost.select("doc_id", "h", "lo", "hi", F.when(F.col("doc_id") > F.col("first"), F.lit(None).cast("long")).otherwise(F.col("bits")).alias("bits"))
     spans = lost.groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi", "bits")).alias("spans"))  # a text's own segments
     out, _ = materialise_at(spans, "spans")
-    for p in (path, alike_path, bits_path):
+    for p in (path, alike_path, groups_path, bits_path, info_path):
         discard(p, spark)
     settle(spark)
     return out
@@ -244,7 +245,7 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
                         parts.append(raw[from_ : starts[i]])
                         from_ = int(starts[j]) if j < len(starts) else len(raw)
                     text = b"".join([*parts, raw[from_:]]).decode()
-                    keep.append(bool(text.split()))
+                    keep.append(not gone.all())
                 else:
                     keep.append(True)
                 texts.append(text)
