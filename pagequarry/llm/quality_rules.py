@@ -67,8 +67,10 @@ WINDOW = 5
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns with the MEASURES. Steps that a lambda reads are columns of their own: then each is worked out once a row."""
-    names = list(docs.columns if keep is None else keep)
+    """The kept columns (all but those named like a measure, if keep is None) with the MEASURES. Steps that a lambda reads are columns of their own: then each is worked out once a row."""
+    names = [c for c in docs.columns if c not in MEASURES] if keep is None else list(keep)
+    if {*names} & {*MEASURES}:
+        raise ValueError(f"{MEASURES} are the names of the results")
     at = "__t"
     own = lambda *more: [*(F.col(f"`{c}`") for c in names), *more]
     base = docs.select(*own(text_or_empty(f"`{text}`").alias(at)))

@@ -103,3 +103,43 @@ def jaccard(rows, k, percent):
     for i, (d, _) in enumerate(rows):
         least[top(i)] = min(least.get(top(i), BIG), BIG if d is None else d)
     return [(d, len(sets[i]), None if least[top(i)] == BIG else least[top(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def order_minhash(text, k, xors, odds):
+    """As the module says, number by number: k-mers with their occurrences, the two least of each function, in text order."""
+    full, golden, other = 2**64 - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+    def mix(x):
+        x = ((x ^ x >> 31) * golden) & full
+        x = ((x ^ x >> 29) * other) & full
+        return x >> 32
+
+    if not text:
+        return "ffff" * len(xors)
+    text = text + bytes(max(0, k - len(text)))
+    seen, grams, numbered = collections.Counter(), [], []
+    for i in range(len(text) - k + 1):
+        gram = mix(int.from_bytes(text[i : i + k], "little"))
+        seen[gram] += 1
+        grams.append(gram)
+        numbered.append(mix((gram + seen[gram] * other) & full))
+    out = ""
+    for x, odd in zip(xors, odds, strict=True):
+        least = sorted(range(len(grams)), key=lambda i: (((numbered[i] ^ x) * odd) & 0xFFFFFFFF, i))[:2]
+        a, b = min(least), max(least)
+        out += f"{mix((grams[a] * golden + grams[b]) & full) & 0xFFFF:04x}"
+    return out
+
+
+def contexts(texts, bucket_of, buckets, places, signs, reach):
+    """Sums of the index vectors of each word's neighbours, and its count in the last column."""
+    table = np.zeros((buckets, int(places.max()) + 2 if len(places) else 1), np.int64)
+    for t in texts:
+        ws = [bucket_of(m[0]) for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|\n+|([^\x09-\x0d\x200-9A-Za-z\x80-\xff])\1*", t)]
+        for i, w in enumerate(ws):
+            table[w, -1] += 1
+            for j in range(max(0, i - reach), min(len(ws), i + reach + 1)):
+                if j != i:
+                    for p, s in zip(places[ws[j]], signs[ws[j]], strict=True):
+                        table[w, p] += s
+    return table

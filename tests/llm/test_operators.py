@@ -1,7 +1,9 @@
 """Each operator against a plain version, on odd rows, and on an empty table."""
 
 import base64
+import collections
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -56,6 +58,7 @@ def test_quality(docs, rows, empty):
     kept = quality_rules.quality_filter(docs)
     assert kept.columns == docs.columns and kept.count() == judged.where("kept").count()
     assert quality_rules.quality_filter(empty).count() == 0
+    assert set(quality_rules.measure(docs.withColumn("n_words", F.lit("x"))).columns) == {*docs.columns, *quality_rules.MEASURES}
 
 
 def test_quality_keeps_what_is_labelled_good(spark):
@@ -64,7 +67,7 @@ def test_quality_keeps_what_is_labelled_good(spark):
     assert good.where("kept").count() >= 0.99 * good.count()
 
 
-def test_bpe(docs, rows, empty):
+def tokenised(rows):
     import public_tokenizers as P
     import tiktoken
 
@@ -74,23 +77,60 @@ def test_bpe(docs, rows, empty):
     for d, t in rows:
         ids = np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
         want.append((d, len(ids) // 4, brute.sha(ids), brute.sha((t or "").encode())))
+    return want
+
+
+def test_bpe(docs, rows, empty):
+    want = tokenised(rows)
     same(bpe.digests(docs).collect(), want)
     same(bpe.digests(docs, chunk_chars=40, overlap_chars=6).collect(), want)
     assert bpe.digests(empty).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of 200,000 characters and more, with settings as they are: each operator against its plain version."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    a = "\n".join(line(12) for _ in range(3000))
+    rows = [(1, a), (2, a[:150_000] + line(9000)), (3, a.replace("\n", " ", 3)), (4, "x" * 60_000 + " '" * 20_000), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    judged = quality_rules.judge(quality_rules.measure(df, keep=("doc_id",)))
+    same(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect(), [(d, *brute.quality(t)) for d, t in rows])
+    same(bpe.digests(df).collect(), tokenised(rows))
+    same(suffix_dedup.dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.suffix(rows, 400))
+    same(substring_dedup.judged(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect(), brute.substring(rows, 50))
+    same(jaccard_join.linked(df, 5, 80).select("doc_id", "n_shingles", "component_id").collect(), brute.jaccard(rows, 5, 80))
+    got = {r.doc_id: r for r in order_minhash.succession_marks(df).collect()}
+    assert got[3].edited_sha256 == brute.sha((rows[2][1][: len(rows[2][1]) - len(rows[2][1]) // 2] + rows[1][1][: len(rows[2][1]) // 2]).encode()) and got[3].n_chars == len(rows[2][1])
+    assert mixing.curriculum(mixing.materialise(mixing.sized(df.withColumn("source", F.lit("s"))), "t")).agg(F.sum("size")).first()[0] == sum(len(brute.words(t)) for _, t in rows)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "a"), (2, "b" * 3_000_000), (3, "a"), (4, ""), (5, None), (6, "\r\n\r\nWARC/1.1\r\n"), (7, "é\0")]
     df = spark.createDataFrame([(p, f"http://x/{p}", h, 1) for p, h in pages], "page_id long, url string, html string, digest int")
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     same(warc.round_trip(df).select(*names).collect(), brute.warc(pages))
-    manifest = warc.write_warc(warc.chunked(warc.records(df), 1 << 20), f"file://{tmp_path}/w")
+    manifest = warc.write_warc(df, f"file://{tmp_path}/w")
     chunks = warc.read_warc(manifest, 1 << 20).where("page_id = 2").orderBy("chunk_no").collect()
     assert len(chunks) > 1 and b"".join(c.data for c in chunks) == b"b" * 3_000_000
     twice = spark.createDataFrame([(1, None, "z")] * 3 + [(None, "u", "z")], "page_id long, url string, html string")
     got = sorted((tuple(r) for r in warc.round_trip(twice).select("page_id", "record_type", "refers_to").collect()), key=brute.key)
     assert got == [(1, "response", None), (1, "revisit", 1), (1, "revisit", 1), (None, "revisit", 1)]
     assert warc.round_trip(df.limit(0)).count() == 0
+    same(warc.round_trip(df.repartition(4), min_bytes=2).select(*names).collect(), [(p, n, d, "response" if n < 2 else kind, None if n < 2 else to) for p, n, d, kind, to in brute.warc(pages)])
+
+
+def test_warc_large_and_hot(spark, tmp_path):
+    """Payloads of many chunks in several tasks, copies of one in all of them, and archives that roll over."""
+    pages = [(i, "hot " * 700_000 if i % 3 == 0 else f"{i} é " * 400_000) for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit(None)).repartition(5)
+    manifest = warc.write_warc(df, f"file://{tmp_path}/w", chunk_bytes=100_000, archive_bytes=10_000)
+    assert manifest.count() > 5
+    chunks = warc.read_warc(manifest, 100_000)
+    assert chunks.agg(F.max(F.length("data"))).first()[0] <= 100_000 + warc.READ_BYTES
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    same(chunks.where("last").select(*names).collect(), brute.warc(pages))
 
 
 def test_suffix_dedup(docs, rows, empty, monkeypatch):
@@ -98,7 +138,8 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch):
     out = lambda **how: suffix_dedup.dedup(docs, **how).select(*names, F.sha2("kept", 256)).collect()
     want = brute.suffix(rows, 400)
     same(out(), want)
-    same(out(symbol=100, batch=2000), want)
+    same(out(symbol=200, batch=2000), want)
+    same(out(symbol=8), want)
     same(out(group=2), want)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
     same(out(), want)
@@ -118,6 +159,23 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     assert whole.count() == 6000 and whole.select("shard").distinct().count() == 4
 
 
+def test_sharding_of_documents(spark):
+    """Sizes and checksums worked out anew; shards near equal; equal texts in one shard."""
+    text = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    got = sharding.query(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    shards, places = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+        shards[r.shard] += r.size
+        places[raw].add(r.shard)
+    mean = sum(shards.values()) / 24
+    largest = max(len((t or "").encode()) for t in text.values())
+    assert sorted(shards) == list(range(24)) and max(abs(s - mean) for s in shards.values()) <= 0.01 * mean + largest
+    assert all(len(p) == 1 for p in places.values())
+
+
 def test_substring_dedup(spark, docs, rows, empty):
     names = ("doc_id", "n_words", "n_removed")
     want = brute.substring(rows, 50)
@@ -134,6 +192,7 @@ def test_substring_dedup(spark, docs, rows, empty):
 @pytest.mark.parametrize(("k", "percent", "family"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (5, 80, 2_000)])
 def test_jaccard(docs, rows, monkeypatch, k, percent, family):
     monkeypatch.setattr(jaccard_join, "FAMILY", family)
+    monkeypatch.setattr(jaccard_join, "REPS", 64 if family > 2_000 else 2)
     back = lambda x: None if x == brute.BIG else x
     got = [(back(r.doc_id), r.n_shingles, back(r.component_id)) for r in jaccard_join.linked(docs, k, percent).collect()]
     want = brute.jaccard(rows, k, percent)
@@ -238,6 +297,51 @@ def test_order_minhash(docs, rows, empty, spark):
     assert len(one) == 1 and order_minhash.fingerprints(docs).count() == len(rows)
 
 
+def test_order_minhash_against_plain(rows):
+    texts = {(t or "").encode() for _, t in rows[:20]} | {b"", b"a", b"abcdefgh", b"abc " * 3000}
+    for t in texts:
+        assert order_minhash.written(order_minhash.fingerprint(t)) == brute.order_minhash(t, order_minhash.K, order_minhash._XOR[:, 0].tolist(), order_minhash._ODD[:, 0].tolist())
+
+
+def test_likeness_falls_with_edits(rows):
+    """The more words change, the less alike; and texts of the same parts in another order are not alike."""
+    rng, near = random.Random(4), []
+    words = " ".join(t for _, t in rows[:12]).split()[:1200]
+    mark = lambda ws: order_minhash.fingerprint(" ".join(ws).encode())
+    for share in (0, 0.01, 0.05, 0.2, 0.6):
+        likes = []
+        for _ in range(5):
+            changed = [f"z{rng.randrange(9999)}" if rng.random() < share else w for w in words]
+            likes.append(order_minhash.likeness(mark(words), mark(changed)))
+        near.append(sum(likes) / 5)
+    assert near[0] == 1 and near == sorted(near, reverse=True) and near[1] > 0.7 and near[4] < 0.2
+    turned = [w for i in range(1100, -1, -100) for w in words[i : i + 100]]
+    assert order_minhash.likeness(mark(words), mark(turned)) < 0.75
+
+
+def test_order_minhash_ranges(spark):
+    """Without doc_ids, or with one for all, ranges are cut by the text's hash; each row still has just one next."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (i % 40 + 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    many = order_minhash.ranges(df, 16).where("role = 0").groupBy("part").count().collect()
+    assert len(many) >= 12 and max(r["count"] for r in many) < 200
+    one, several = (sorted(map(tuple, order_minhash.succession_marks(df, n).collect()), key=brute.key) for n in (1, 16))
+    assert one == several and len(one) == 600
+
+
+def test_classifier_against_plain(spark, rows):
+    texts = [(t or "").encode() for _, t in rows[:15]]
+    hash_of = lambda w: int(classifier.span_hashes(classifier.FOLD[np.frombuffer(w, np.uint8)], np.array([0]), np.array([len(w)]))[0] >> np.uint64(50))
+    want = brute.contexts(texts, hash_of, classifier.BUCKETS, classifier.PLACES, classifier.SIGNS, classifier.REACH)
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert (classifier.corpus_table(df) == want).all()
+    vectors = classifier.word_vectors(want)
+    found = classifier.tokens(texts[3])
+    mean = sum(vectors[w].astype(float) for w in found) / len(found)
+    spread = (sum((vectors[w] - mean) ** 2 for w in found) / len(found)) ** 0.5
+    assert np.allclose(classifier.pool(found, vectors)[:-2], np.concatenate([mean, spread]), atol=1e-4)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.curriculum(mixing.materialise(mixing.sized(docs), "t")).toPandas()
     assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
