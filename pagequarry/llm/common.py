@@ -52,6 +52,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions an int that repartition(n, column) sends to it: rows with a number of their own go just there."""
+    found: dict[int, int] = {}
+    size = 24 * n + 64
+    while len(found) < n:
+        at = spark.range(size).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+        found = {r["p"]: r["k"] for r in at.collect()}
+        size *= 2
+    return [found[p] for p in range(n)]
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that are done and whose frames are gone."""
     import gc

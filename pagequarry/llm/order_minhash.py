@@ -5,14 +5,16 @@ of 64 hash functions selects the 2 least numbered k-mers; they are put back into
 pair is hashed to 16 bits. Two texts' likeness is the share of functions with equal hashes: it falls
 with their edit distance, as both what k-mers they share and the order of these count.
 
-``successions`` gives each document the next one in descending doc_id: ranges of ids, bounded by ids
-that occur (from a quantile sketch), are one partition each; the document on a bound goes to both
-sides, and the first also to the end of the last range. So texts move once and no task sorts them all.
+``succession_marks`` gives each document the next one in descending doc_id: ranges of (doc_id, hash of the
+text) are one partition each. Their bounds are rows of a random sample of SAMPLE rows a range, chosen so that the
+sample's bytes are dealt evenly; the row on a bound goes to both sides, and the first also to the end
+of the last range. So texts move once, no task sorts them all, and rows without doc_id, or of one, are
+ranges like others.
 
 Defined cases: null text counts as empty; the empty text has a fingerprint of its own, like that of
 other empty texts only; texts under 8 bytes are one k-mer, padded with zero bytes; null doc_ids come
-after all others; equal doc_ids stand in the order of their texts' hash; a single document's next is
-itself; equal texts have equal fingerprints; an empty table gives an empty one.
+after all others; equal doc_ids stand in the order of their texts' hash (rows equal in both are never
+parted); a single document's next is itself; equal texts have equal fingerprints; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import materialise, partition_keys, shuffle_partitions, text_or_empty
 
 K, FUNCTIONS, BLOCK = 8, 64, 8192
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -33,8 +35,8 @@ _XOR = _RNG.integers(0, 2**32, (FUNCTIONS, 1), dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, (FUNCTIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _EMPTY = np.full(FUNCTIONS, 0xFFFF, np.uint16)
 _ALL = np.arange(FUNCTIONS)
-#: Ranges of ids at most.
-RANGES = 2000
+#: Ranges at most, and rows that the driver sees of each to find the bounds.
+RANGES, SAMPLE = 2000, 40
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,29 +104,47 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return rows.mapInArrow(make, rows.drop("__text").schema.add("fingerprint", "string"))
 
 
+def place() -> Column:
+    """Where a row stands: descending doc_id, null last, then the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("d"), F.xxhash64("text").alias("h"))
+
+
 def ranges(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, part, role: a row belongs to its part if role is 0, and follows the last row of its part if it is 1 (2: the first of all)."""
+    """doc_id, text, place, part, role: a row belongs to its part if role is 0, and follows the last row of its part if it is 1 (2: the first of all)."""
     parts = max(1, min(parts, RANGES))
-    cuts = [F.lit(i / parts) for i in range(1, parts)]
-    most = F.max("doc_id").alias("most")
-    found = docs.agg(most, *([F.percentile_approx("doc_id", F.array(*cuts), F.lit(max(10_000, 20 * parts))).alias("cuts")] if cuts else [])).first()
-    splitters = sorted(set((found["cuts"] or []) if cuts else []))
-    top = F.lit(found["most"]).cast("long")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    sp = F.array(*(F.lit(int(s)).cast("long") for s in splitters)) if splitters else F.array().cast("array<long>")
-    own = F.coalesce(F.size(F.filter(sp, lambda s: s < F.col("doc_id"))), F.lit(0))
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(own)
+    slim = materialise(rows.select(place().alias("place"), F.octet_length("text").alias("size")), "places")
+    n, first = slim.agg(F.count("*"), F.min("place")).first()
+    seen = sorted((tuple(p), size + 1) for p, size in slim.where(F.rand(11) < min(1.0, SAMPLE * parts / max(n, 1))).collect())
+    total, so_far, at, bounds = sum(size for _, size in seen), 0, 0, []
+    for p, size in seen:
+        if so_far * parts // total > at and p not in bounds[-1:]:
+            at = so_far * parts // total
+            bounds.append(p)
+        so_far += size
+    known = lambda p: F.struct(F.lit(bool(p[0])).alias("n"), F.lit(int(p[1])).cast("long").alias("d"), F.lit(int(p[2])).cast("long").alias("h"))
+    rows = rows.withColumn("place", place())
+    own, others = F.lit(0), []
+    if bounds:
+        all_bounds = F.array(*map(known, bounds))
+        own = F.size(F.filter(all_bounds, lambda b: b <= F.col("place")))
+        others = [F.when(F.array_contains(all_bounds, F.col("place")), _to(F.col("own") - 1, 1))]
+    if n:
+        others.append(F.when(F.col("place") == known(first), _to(F.lit(len(bounds)), 2)))
     rows = rows.withColumn("own", own)
-    place = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).alias("role"))
-    on_cut = F.coalesce(F.array_contains(sp, F.col("doc_id")), F.lit(False))
-    places = F.array_compact(F.array(place(F.col("own"), 0), F.when(on_cut, place(F.col("own") + 1, 1)), F.when(F.col("doc_id").eqNullSafe(top), place(F.lit(0), 2))))
-    return rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.role")
+    return rows.select("doc_id", "text", "place", F.explode(F.array_compact(F.array(_to(F.col("own"), 0), *others))).alias("at")).select("doc_id", "text", "place", "at.part", "at.role")
+
+
+def _to(part: Column, role: int) -> Column:
+    return F.struct(part.cast("int").alias("part"), F.lit(role).alias("role"))
 
 
 def succession_marks(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and likenesses: see the contract in query()."""
     parts = parts or shuffle_partitions(docs.sparkSession)
-    rows = ranges(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "role", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    keys = F.array(*map(F.lit, partition_keys(docs.sparkSession, parts)))
+    rows = ranges(docs, parts).withColumn("key", F.get(keys, F.col("part")))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("part", "role", "place", "text").select("doc_id", "text", "part", "role")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def make(batches):
