@@ -1,21 +1,24 @@
 """WARC archives through a chunked record table.
 
-A payload is rows of (record, chunk number, bytes): chunks are cut from the row by the JVM, written
-to the archive one after the other, and read back from it the same way, each with the SHA-1 and the
-length of the payload up to it. Writer and reader hold a chunk at a time, never a record. Each record
-is a gzip member of its own; archives roll over at ARCHIVE_BYTES.
+A payload becomes rows of (digest, chunk number, bytes) in the task that reads it, before anything is
+shuffled; a task sends each chunk once, whatever the number of its copies. Chunks meet by digest behind a
+head row, sorted, and go to the archive one after the other; they are read back from it the same way,
+each with the SHA-1 and the length of the payload up to it. Shuffle, writer and reader hold chunks,
+never a record. Each record is a gzip member of its own; archives roll over at ARCHIVE_BYTES.
 
 Of records with equal payloads of at least ``min_bytes`` that with the largest identifier is the
-response, and the others are revisits that refer to it. Only one payload for each digest moves, and
-what says which is which are slim rows, pre-aggregated: a payload that a third of all pages share is
-one row of its digest, and its revisits are many slim rows, not a group.
+response, and the others are revisits that refer to it. Who is which is decided on slim rows without payloads,
+which are written first; the response of each digest is a table of its own, so the join that makes the revisits
+may be split where a third of all pages share a payload, and revisits are written where they are made.
+Payloads under ``min_bytes`` are short by definition and stay with their slim row.
 
 Archives go to the shared folder, named by attempt; the manifest lists those of the attempts that
 ended well, so a lost executor leaves at most a file that nothing reads.
 
 Defined cases: null html is an empty payload; null identifiers are less than all others and come
 back as null; rows equal in identifier, url and payload are one response and revisits that refer to
-the same identifier; an empty table gives an empty one; other columns are ignored.
+the same identifier; an empty table gives an empty one; other columns are ignored. The pages are read
+twice (payloads, slim rows); if they differ the second time the writer fails.
 """
 
 from __future__ import annotations
@@ -32,10 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, shuffle_partitions
+from .grams import lean, slices
 
 CHUNK_BYTES = 1 << 20
 ARCHIVE_BYTES = 1 << 28
 READ_BYTES = 1 << 18
+#: Chunks that a task remembers having sent, and rows of chunks that a worker takes at a time.
+SENT, ROWS = 1 << 17, 16
 DATE = "2000-01-01T00:00:00Z"
 #: The manifest's rows: an archive each.
 MANIFEST = "path string, bytes long, records long"
@@ -46,37 +52,41 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def records(pages: DataFrame, identifier: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """A row for each record: page_id, url, digest (hex SHA-1), n_bytes, copy, refers_to, response, payload (responses only)."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(identifier).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    slim = rows.select("page_id", "url", "digest", "n_bytes")
-    small = F.col("n_bytes") < min_bytes
-    page = F.struct("page_id", "url")
-    responses = rows.where(~small).groupBy("digest").agg(F.max(page).alias("page"), F.first("payload").alias("payload"), F.first("n_bytes").alias("n_bytes"))
-    responses = responses.select("page.*", "digest", "n_bytes", F.lit(0).alias("copy"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("response"), "payload")
-    tops = slim.where(~small).groupBy("digest").agg(F.max(page).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = slim.where(~small).groupBy("digest", "n_bytes", "page_id", "url").count().join(tops, "digest")
-    is_top = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
-    left = (F.col("count") - is_top.cast("int")).cast("int")
-    revisits = copies.where(left > 0).select("page_id", "url", "digest", "n_bytes", F.explode(F.sequence(F.lit(1), left)).alias("copy"), F.col("top.page_id").alias("refers_to"), F.lit(False).alias("response"), F.lit(None).cast("binary").alias("payload"))
-    out = responses.unionByName(revisits)
-    if min_bytes:
-        own = rows.where(small).withColumn("copy", F.monotonically_increasing_id().cast("int"))
-        out = out.unionByName(own.select("page_id", "url", "digest", "n_bytes", "copy", F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("response"), "payload"))
-    return out
+def _body(payload: str) -> Column:
+    return F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+
+
+def slim_rows(pages: DataFrame, identifier: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+    """page_id, url, digest (hex SHA-1), n_bytes, own (the payload if it is under min_bytes), row (a number of its own); written."""
+    size = F.octet_length(_body(payload)).cast("long")
+    own = F.when(size < min_bytes, _body(payload)) if min_bytes else F.lit(None).cast("binary")
+    rows = pages.select(F.col(identifier).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(_body(payload)).alias("digest"), size.alias("n_bytes"), own.alias("own"), F.monotonically_increasing_id().alias("row"))
+    return materialise(rows, "warc-rows")
+
 
+def chunked(pages: DataFrame, payload: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunked record table of payloads of at least min_bytes: digest, chunk_no, data. Copies that one task reads are one."""
+    rows = pages.select(_body(payload).alias("payload")).where(F.octet_length("payload") >= min_bytes).select("payload", F.sha1("payload").alias("digest"))
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk_bytes)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    rows = rows.select("digest", F.posexplode(parts).alias("chunk_no", "data"))
 
-def chunked(recs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table: a record's rows follow each other, in order, in one partition."""
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("payload", F.lit(b""))) / chunk_bytes)).cast("int")
-    part: Column = F.expr(f"substring(payload, chunk_no * {chunk_bytes} + 1, {chunk_bytes})")
-    rows = recs.select("*", count.alias("n_chunks")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-    return rows.withColumn("data", part).drop("payload")
+    def once(batches):
+        sent: set[tuple] = set()
+        for b in slices(batches, 1024):
+            fresh = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fresh.append(key not in sent)
+                if len(sent) >= SENT:
+                    sent.clear()
+                sent.add(key)
+            yield b.filter(pa.array(fresh, pa.bool_()))
 
+    return rows.mapInArrow(lean(once), "digest string, chunk_no int, data binary")
 
-def _identity(page_id: int | None, digest: str, copy: int, url: str | None) -> str:
-    return f"<urn:pagequarry:{'null' if page_id is None else page_id}:{digest}:{copy}:{hashlib.md5((url or '').encode()).hexdigest()}>"
+
+def _identity(page_id: int | None, digest: str, row: int) -> str:
+    return f"<urn:pagequarry:{'null' if page_id is None else page_id}:{digest}:{row}>"
 
 
 def _page(identity: str | None) -> int | None:
@@ -121,51 +131,94 @@ def head(row: dict) -> bytes:
     """Everything of a record before its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['n_bytes']}\r\n\r\n"
     length = len(http) + (row["n_bytes"] if row["response"] else 0)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if row['response'] else 'revisit'}", f"WARC-Record-ID: {_identity(row['page_id'], row['digest'], row['copy'], row['url'])}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if row['response'] else 'revisit'}", f"WARC-Record-ID: {_identity(row['page_id'], row['digest'], row['row'])}", f"WARC-Date: {DATE}"]
     if row["url"] is not None:
         lines.append(f"WARC-Target-URI: {row['url'].replace(chr(13), '%0D').replace(chr(10), '%0A')}")
     lines.append(f"WARC-Payload-Digest: sha1:{base32(bytes.fromhex(row['digest']))}")
     if not row["response"]:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: {_identity(row['refers_to'], row['digest'], 0, None)}")
+        lines.append(f"WARC-Refers-To: {_identity(row['refers_to'], row['digest'], row['refers_row'])}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     return ("\r\n".join(lines) + "\r\n\r\n" + http).encode()
 
 
-def write_warc(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+class _Writer:
+    """Rows of records, one after the other: a head row, then the chunks in order; a chunk may come more than once."""
+
+    def __init__(self, folder: str, archive_bytes: int):
+        self.folder, self.most, self.archive, self.row = folder, archive_bytes, None, None
+
+    def put(self, row: dict) -> list[tuple]:
+        """Returns the archives that are full."""
+        full = []
+        if row["chunk_no"] < 0:
+            full = self.end()
+            self.archive = self.archive or _Archive(self.folder)
+            self.row, self.sha, self.size, self.next = row, hashlib.sha1(), 0, 0
+            self.archive.begin()
+            self.archive.put(head(row))
+        elif self.row is None or row["digest"] != self.row["digest"] or row["chunk_no"] > self.next:
+            raise ValueError(f"the pages have changed: a chunk of {row['digest']} has no record")
+        if row["data"] is not None and row["chunk_no"] in (-1, self.next):
+            self.archive.put(row["data"])
+            self.sha.update(row["data"])
+            self.size += len(row["data"])
+            self.next += row["chunk_no"] >= 0
+        return full
+
+    def end(self) -> list[tuple]:
+        row, self.row = self.row, None
+        if row:
+            self.archive.end()
+            if row["response"] and (self.size, self.sha.hexdigest()) != (row["n_bytes"], row["digest"]):
+                raise ValueError(f"the pages have changed: the chunks of {row['page_id']} are not its payload")
+            if self.archive.bytes >= self.most:
+                return self.close()
+        return []
+
+    def close(self) -> list[tuple]:
+        archive, self.archive = self.archive, None
+        return [archive.close()] if archive else []
+
+
+def write_warc(pages: DataFrame, folder: str, identifier: str = "page_id", payload: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives and return their manifest (a table in the shared folder)."""
+    spark = pages.sparkSession
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
+    slim = slim_rows(pages, identifier, payload, min_bytes)
+    shared = slim.where("own IS NULL").select("page_id", "url", "digest", "n_bytes", "row")
+    tops = materialise(shared.groupBy("digest").agg(F.max(F.struct("page_id", "url", "row")).alias("top"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("n")), "warc-responses")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def rows(df: DataFrame, **known: Column) -> DataFrame:
+        kinds = {"digest": "string", "chunk_no": "int", "data": "binary", "page_id": "long", "url": "string", "row": "long", "n_bytes": "long", "response": "boolean", "refers_to": "long", "refers_row": "long"}
+        return df.select(*(known.get(c, none(kind)).cast(kind).alias(c) for c, kind in kinds.items()))
 
     def write(batches):
-        archive = sha = None
-        for b in batches:
-            names = b.schema.names
-            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                row = dict(zip(names, values, strict=True))
-                if row["chunk_no"] == 0:
-                    archive = archive or _Archive(folder)
-                    archive.begin()
-                    archive.put(head(row))
-                    sha = hashlib.sha1()
-                if row["response"]:
-                    archive.put(row["data"])
-                    sha.update(row["data"])
-                if row["chunk_no"] == row["n_chunks"] - 1:
-                    archive.end()
-                    if row["response"] and sha.hexdigest() != row["digest"]:
-                        raise ValueError(f"the chunks of {row['page_id']} are not its payload")
-                    if archive.bytes >= archive_bytes:
-                        yield manifest([archive.close()])
-                        archive = None
-        if archive:
-            yield manifest([archive.close()])
-
-    def manifest(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["path", "bytes", "records"])
-
-    columns = ["page_id", "url", "digest", "n_bytes", "copy", "refers_to", "response", "n_chunks", "chunk_no", "data"]
-    return materialise(chunks.select(*columns).mapInArrow(write, MANIFEST), "warc-manifest")
+        writer = _Writer(folder, archive_bytes)
+        for b in slices(batches, ROWS):
+            for row in b.to_pylist():
+                yield from manifest(writer.put(row))
+        yield from manifest(writer.end())
+        yield from manifest(writer.close())
+
+    def manifest(full):
+        if full:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*full, strict=True)], names=["path", "bytes", "records"])
+
+    c = F.col
+    heads = rows(tops, digest=c("digest"), chunk_no=F.lit(-1), page_id=c("top.page_id"), url=c("top.url"), row=c("top.row"), n_bytes=c("n_bytes"), response=F.lit(True))
+    chunks = rows(chunked(pages, payload, min_bytes, chunk_bytes), digest=c("digest"), chunk_no=c("chunk_no"), data=c("data"))
+    # a digest has a head and as many rows of a chunk as tasks have read it
+    responses = heads.unionByName(chunks).repartition(shuffle_partitions(spark), "digest").sortWithinPartitions("digest", "chunk_no")
+    again = shared.join(tops.where("n > 1").select("digest", "top"), "digest").where("row <> top.row")
+    own = dict(digest=c("digest"), chunk_no=F.lit(-1), page_id=c("page_id"), url=c("url"), row=c("row"), n_bytes=c("n_bytes"))
+    revisits = rows(again, **own, response=F.lit(False), refers_to=c("top.page_id"), refers_row=c("top.row"))
+    out = responses.mapInArrow(lean(write), MANIFEST).unionByName(revisits.mapInArrow(lean(write), MANIFEST))
+    if min_bytes:
+        out = out.unionByName(rows(slim.where("own IS NOT NULL"), **own, data=c("own"), response=F.lit(True)).mapInArrow(lean(write), MANIFEST))
+    return materialise(out, "warc-manifest")
 
 
 class Stream:
@@ -289,7 +342,7 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: bo
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark: SparkSession = pages.sparkSession
-    manifest = write_warc(chunked(records(pages, min_bytes=min_bytes)), scratch(spark, "warc"))
+    manifest = write_warc(pages, scratch(spark, "warc"), min_bytes=min_bytes)
     return read_warc(manifest, with_data=False).where("last")
 
 
