@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .column_bwt import Files, build
 from .common import NO_ID, discard, materialise_at, scratch, settle, text_or_empty
-from .grams import mix, signed, slices, winnow
+from .grams import lean, powers, prefix_sums, signed, slices, winnow
 from .repeats import SEGMENTS, identified, repeated_segments
 from .warc import open_fs
 
-WINDOW, SYMBOL, SEED = 400, 200, 16
+WINDOW, SYMBOL, SEED = 400, 50, 64
 #: Different segments of an anchor that one task sorts, and bytes of segments that it sorts at a time.
 GROUP, BATCH = 8_000, 1 << 20
 #: Windows of a text that are winnowed at a time.
@@ -39,9 +39,9 @@ BLOCK = 1 << 20
 
 
 def byte_grams(text: bytes) -> np.ndarray:
-    """Hashes of the strings of SEED (16) bytes."""
-    eights = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,)).astype(np.uint64)
-    return mix(mix(eights[:-8]) + eights[8:])
+    """Hashes of the strings of SEED bytes: long enough that few are repeated but in passages."""
+    sums = prefix_sums(np.frombuffer(text, np.uint8))
+    return (sums[SEED:] - sums[:-SEED]) * powers(len(text))[1][: len(text) - SEED + 1]
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -61,7 +61,7 @@ def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "h", "anchor", "seg", "lo", "hi"])
 
-    return identified(docs).mapInArrow(make, SEGMENTS)
+    return identified(docs).mapInArrow(lean(make), SEGMENTS)
 
 
 def runs(flags: np.ndarray) -> np.ndarray:
@@ -73,12 +73,13 @@ def runs(flags: np.ndarray) -> np.ndarray:
 
 def repeated_windows(texts: list[bytes], counts: list[int], window: int, symbol: int, files: Files) -> list[np.ndarray]:
     """For each text the runs of its windows that occur again, in the texts or as counts say."""
-    suffix, common = build(texts, symbol, window // symbol, files)
-    again = np.zeros(len(suffix) + 1, bool)
-    again[:-1] = common >= window // symbol
-    again[:-1] |= again[1:]
     place = np.zeros(sum(map(len, texts)) + 1, bool)
-    place[suffix[again[:-1]]] = True
+    last = -1  # the place behind all texts
+    for suffix, common in build(texts, symbol, window // symbol, files):
+        again = common >= window // symbol
+        place[suffix[again]] = True
+        place[np.concatenate(([last], suffix[:-1]))[again]] = True
+        last = suffix[-1]
     out, at = [], 0
     for t, n in zip(texts, counts, strict=True):
         w = len(t) - window + 1
@@ -94,7 +95,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, g
     spark = docs.sparkSession
     found, path = repeated_segments(segments(docs, window))
     alike, alike_path = materialise_at(found.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("rep")).select("anchor", "seg", "n", "rep.*"), "alike")
-    groups = alike.groupBy("anchor").agg(F.count("*").alias("members"))
+    # written, so that the join stands alone and Spark may split an anchor that very many texts share
+    groups, groups_path = materialise_at(alike.groupBy("anchor").agg(F.count("*").alias("members")), "groups")
     per_text = alike.join(groups, "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "seg", "n", "members", "lo", "hi")).alias("segs"))  # a text's own segments
     once = identified(docs).join(per_text, ["doc_id", "h"]).select("text", "segs")
     folder = scratch(spark, "piles")
@@ -106,7 +108,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, g
             out = [(s["anchor"], s["seg"], s["n"], s["members"], text[s["lo"] : s["hi"] + window]) for text, segs in zip(*(c.to_pylist() for c in b.columns), strict=True) for s in segs]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "n", "members", "bytes"])
 
-    parts = once.mapInArrow(read, "anchor long, seg long, n long, members long, bytes binary")
+    parts = once.mapInArrow(lean(read), "anchor long, seg long, n long, members long, bytes binary")
 
     def resolve(batches):
         fs, root = open_fs(folder)
@@ -147,17 +149,17 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, g
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["anchor", "seg", "runs"])
 
     small = parts.where(F.col("members") <= group).select("anchor", "seg", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    result = small.mapInArrow(resolve, "anchor long, seg long, runs binary")
+    result = small.mapInArrow(lean(resolve), "anchor long, seg long, runs binary")
     if groups.where(F.col("members") > group).limit(1).count():
-        single, _ = materialise_at(parts.where(F.col("members") > group).select("anchor", "seg", "n", "bytes").mapInArrow(one_by_one, "key binary, anchor long, seg long, n long, w int").dropDuplicates(["anchor", "seg", "w"]), "windows")
+        single, _ = materialise_at(parts.where(F.col("members") > group).select("anchor", "seg", "n", "bytes").mapInArrow(lean(one_by_one), "key binary, anchor long, seg long, n long, w int").dropDuplicates(["anchor", "seg", "w"]), "windows")
         often = single.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
-        result = result.unionByName(single.join(often, "key").groupBy("anchor", "seg").agg(F.collect_list("w").alias("ws")).mapInArrow(as_runs, "anchor long, seg long, runs binary"))  # a segment's own windows
+        result = result.unionByName(single.join(often, "key").groupBy("anchor", "seg").agg(F.collect_list("w").alias("ws")).mapInArrow(lean(as_runs), "anchor long, seg long, runs binary"))  # a segment's own windows
     result, result_path = materialise_at(result, "runs")
     fs.delete_dir(root)
     settle(spark)
     spans = found.join(result, ["anchor", "seg"]).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "runs")).alias("spans"))  # a text's own segments
     out, _ = materialise_at(spans, "spans")
-    for p in (path, alike_path, result_path):
+    for p in (path, alike_path, groups_path, result_path):
         discard(p, spark)
     settle(spark)
     return out
@@ -186,7 +188,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
                 out.append((doc_id, len(text), removed, n, kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
