@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .binary import col
 
-# Fixed values: (version, revision) of the known formats; matches are exact.
+# Fixed values: (version, revision) of the known formats, in the order in which the labels sort; matches are exact.
 FINGERPRINTS = {
+    (0x623, 0x00): "NewSpaceManager",
     (0x620, 0x00): "OriginalOperatingSystemBetaFormat",
     (0x620, 0x09): "WindowsXPSP3",
     (0x620, 0x0B): "ExchangeWithEcc",
@@ -17,7 +18,6 @@ FINGERPRINTS = {
     (0x620, 0x14): "Exchange2013Ad2016",
     (0x620, 0xC8): "Windows11_21H2",
     (0x620, 0xE6): "Windows11",
-    (0x623, 0x00): "NewSpaceManager",
 }
 #: Order of the labels, as their codes sort.
 FINGERPRINT_CODES = {name: i for i, name in enumerate([*FINGERPRINTS.values(), "Other"])}
