@@ -25,34 +25,38 @@ def piece(data: Column | str, offset: Column | int, size: Column | int) -> Colum
     return F.when(inside, F.when(size == 0, F.lit(b"")).otherwise(F.substring(data, (offset + 1).cast("int"), size.cast("int"))))
 
 
-def _turned(hexed: Column) -> Column:
-    """Hex digits with the order of the bytes turned round: all digits, then those of each byte again."""
-    return F.regexp_replace(F.reverse(hexed), "(.)(.)", "$2$1")
+def _unsigned(data: Column | str, offset: Column | int, size: int) -> Column:
+    """The digits of an integer: its bytes one by one, the last first."""
+    data, offset = col(data), offset if isinstance(offset, int) else col(offset).cast("int")
+    inside = F.octet_length(data) >= offset + size
+    if not isinstance(offset, int):
+        inside &= offset >= 0
+    return F.when(inside, F.conv(F.hex(F.concat(*(F.substring(data, offset + i, F.lit(1)) for i in range(size, 0, -1)))), 16, 10))
 
 
 def u64(data: Column | str, offset: Column | int = 0, size: int = 8) -> Column:
     """DECIMAL(20,0): unsigned 64 bits don't fit a BIGINT."""
-    hexed = F.hex(piece(data, offset, size))
-    return F.conv(hexed if size == 1 else _turned(hexed), 16, 10).cast("decimal(20,0)")
+    return _unsigned(data, offset, size).cast("decimal(20,0)")
 
 
 def u32(data: Column | str, offset: Column | int = 0) -> Column:
-    return F.conv(_turned(F.hex(piece(data, offset, 4))), 16, 10).cast("long")
+    return _unsigned(data, offset, 4).cast("long")
 
 
 def u16(data: Column | str, offset: Column | int = 0) -> Column:
-    return F.conv(_turned(F.hex(piece(data, offset, 2))), 16, 10).cast("int")
+    return _unsigned(data, offset, 2).cast("int")
 
 
 def u8(data: Column | str, offset: Column | int = 0) -> Column:
-    return F.conv(F.hex(piece(data, offset, 1)), 16, 10).cast("int")
+    return _unsigned(data, offset, 1).cast("int")
 
 
 def le(value: Column | str | int, size: int) -> Column:
-    """The bytes of an integer: the reverse of the readers."""
-    value = col(value).cast("long")
-    hexed = F.lpad(F.hex(value if size >= 8 else value.bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))), 2 * size, "0")
-    return F.unhex(hexed if size == 1 else _turned(hexed))
+    """The bytes of an integer: the reverse of the readers. Shifts put each byte in its place, and the whole is written as hex once."""
+    value, turned = col(value).cast("long"), F.lit(0).cast("long")
+    for i in range(size):
+        turned = turned.bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, 8 * i).bitwiseAND(F.lit(255).cast("long")), 8 * (size - 1 - i)))
+    return F.unhex(F.lpad(F.hex(turned), 2 * size, "0"))
 
 
 def zeros(size: Column | int) -> Column:

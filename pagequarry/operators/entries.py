@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ def root_header(data: Column, revision: Column) -> tuple[Column, Column]:
     return F.when(good, header), F.when(~good, F.concat(F.lit("root header of "), size, F.lit(" bytes")))
 
 
-def tree_pages(pages: DataFrame) -> DataFrame:
+def tree_pages(pages: DataFrame, kind: Column | None = None) -> DataFrame:
     """Decoded pages with kind, root_header, common_page_key (the first payload of branches and leaves), and in error what loses a page."""
-    kind, (first, first_error_) = page_kind(), tag_payload(0)
+    kind, (first, first_error_) = page_kind() if kind is None else kind, tag_payload(0)
     rows = pages.select("*", kind.alias("kind"), first.alias("__first"), first_error_.alias("__first_error"))
     root, root_error = root_header(F.col("__first"), F.col("revision"))
     error = F.coalesce("error", F.when(F.col("kind").isNull(), F.lit("no such page kind")), "__first_error", F.when(F.col("kind") == "Root", root_error))
@@ -51,6 +53,11 @@ def tree_pages(pages: DataFrame) -> DataFrame:
     return settled(out, "error")
 
 
+def root_pages(pages: DataFrame) -> DataFrame:
+    """tree_pages() of pages that are known to be roots, whatever else their flags say: entries() of those that are leaves too are leaf entries."""
+    return tree_pages(pages, F.lit("Root"))
+
+
 def entries(pages: DataFrame) -> DataFrame:
     """A row for each tag but the first of tree_pages() without error: the entry, or the error that drops it."""
     at = F.explode_outer(F.when(F.size("tags") > 1, F.sequence(F.lit(1), F.size("tags") - 1)))
@@ -61,7 +68,7 @@ def entries(pages: DataFrame) -> DataFrame:
     rows = settled(rows, "payload", "error").withColumn("page_key_size", u16("payload", 0))
     rows = rows.withColumn("error", F.coalesce("error", first_error((size < 6, "entry is under 6 bytes"), (size < F.col("page_key_size") + 6, "entry is shorter than its key says"))))
     key, good = F.col("page_key_size"), F.col("error").isNull()
-    leaf = F.col("kind") == "Leaf"
+    leaf = (F.col("kind") == "Leaf") | ((F.col("kind") == "Root") & has_flag("page_flags", "Leaf"))
     rows = rows.select(
         "*",
         F.when(good, piece("payload", 2, key)).alias("page_key"),
@@ -79,7 +86,7 @@ def entries(pages: DataFrame) -> DataFrame:
     return rows.select(
         "page_number",
         "kind",
-        F.when(F.col("kind") == "Leaf", F.lit("Leaf")).otherwise(F.lit("Branch")).alias("entry_kind"),
+        F.when(F.col("payload_kind").isNotNull(), F.lit("Leaf")).otherwise(F.lit("Branch")).alias("entry_kind"),
         "tag_number",
         "tag_flags",
         F.when(good, key).alias("page_key_size"),
@@ -134,14 +141,16 @@ def edges(pages: DataFrame) -> DataFrame:
     return out.unionByName(part(F.col("root_header")["space_tree_page_number"], "space_tree")).unionByName(child)
 
 
-def reachable(edge_table: DataFrame, start: DataFrame, kinds: tuple[str, ...] = ("child",), most: int = 64) -> DataFrame:
-    """page, depth: pages that edges lead to from start's page (an extra); a join for each level, and a page is visited once."""
+def reachable(edge_table: DataFrame, start: DataFrame, kinds: tuple[str, ...] = ("child",)) -> DataFrame:
+    """page, depth: pages that edges lead to from start's page (an extra); a join for each level until no new page comes, and a page is visited once."""
     steps = edge_table.where(F.col("edge_kind").isin(*kinds)).select(F.col("src_page").alias("page"), "dst_page").distinct()
     seen = start.select(F.col("page").cast("long").alias("page"), F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         front = front.select("page").join(steps, "page").select(F.col("dst_page").alias("page")).distinct().join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = seen.checkpoint()  # else a plan with a part for each level
     return seen

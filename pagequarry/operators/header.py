@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import col, u32, u64
-from ..functions.instants import filetime, log_time_error
+from ..functions.instants import packed, packed_error, packed_filetime
 from ..functions.labels import fingerprint, fingerprint_code, state, state_code
 
 SIZE = 668
@@ -66,26 +66,22 @@ flags 664 i""".splitlines()
 
 
 def header_error(data: Column | str) -> Column:
-    """What loses the header: too few bytes, or the first of its instants, in the file's order, that is none."""
-    times = [F.concat(F.lit(f"{name}: "), log_time_error(data, offset)) for name, offset, kind in FIELDS if kind == "t"]
+    """What loses the header: too few bytes, or the first of its instants, in the file's order, that is none. Reads __name, its packed log times."""
+    times = [F.concat(F.lit(f"{name}: "), packed_error(f"__{name}")) for name, _, kind in FIELDS if kind == "t"]
     return F.when(F.octet_length(col(data)) < SIZE, F.lit("header is short")).otherwise(F.coalesce(*times))
 
 
-def header_fields(data: Column | str) -> list[Column]:
-    read = {"i": u32, "q": u64, "t": filetime}
-    return [read[kind](data, offset).alias(name) for name, offset, kind in FIELDS]
-
-
 def decode_headers(files: DataFrame, data: str = "content", mode: str = "PERMISSIVE") -> DataFrame:
     """files' other columns, the fields, labels, signature_ok and error; with an error all of them are NULL. mode FAILFAST raises it."""
     kept = [c for c in files.columns if c != data]
-    error = header_error(data)
-    rows = files.select(*kept, data, error.alias("error"))
+    raw = {"i": u32, "q": u64, "t": packed}
+    rows = files.select(*kept, data, *(raw[kind](data, offset).alias(f"__{name}") for name, offset, kind in FIELDS), u32(data, 4).alias("__signature"))
+    rows = rows.select(*(c for c in rows.columns if c != data), header_error(data).alias("error"))
     if mode == "FAILFAST":
         rows = fail_fast(rows)
     good = F.col("error").isNull()
-    own = [F.when(good, c).alias(name) for c, (name, _, _) in zip(header_fields(data), FIELDS, strict=True)]
-    out = rows.select(*kept, *own, F.when(good, u32(data, 4) == SIGNATURE).alias("signature_ok"), "error")
+    own = [F.when(good, packed_filetime(f"__{name}") if kind == "t" else F.col(f"__{name}")).alias(name) for name, _, kind in FIELDS]
+    out = rows.select(*kept, *own, F.when(good, F.col("__signature") == SIGNATURE).alias("signature_ok"), "error")
     labels = [fingerprint("version", "file_format_revision").alias("fingerprint"), fingerprint_code("version", "file_format_revision").alias("fingerprint_code"), state("state").alias("state_label"), state_code("state").alias("state_code")]
     return out.select("*", *(F.when(F.col("error").isNull(), c).alias(n) for c, n in zip(labels, ("fingerprint", "fingerprint_code", "state_label", "state_code"), strict=True)))
 

@@ -104,7 +104,8 @@ def decode_pages(pages: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     with an error the others are NULL.
     """
     size = F.octet_length("data")
-    error = F.when(size != F.col("page_size"), F.lit("page data has another size than a page")).otherwise(page_header_error("data", "version", "revision"))
+    error = first_error((F.col("page_size").isNull(), "header is short"), (size != F.col("page_size"), "page data has another size than a page"))
+    error = F.coalesce(error, page_header_error("data", "version", "revision"))
     rows = pages.withColumn("error", error)
     if mode == "FAILFAST":
         rows = fail_fast(rows)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import le, settled
-from ..functions.instants import filetime, log_time_error
+from ..functions.instants import packed, packed_error, packed_filetime
 from ..functions.labels import PAGE_FLAGS, has_flag, is_branch, page_flag_labels, tag_flag_labels
 from ..operators import bulk
-from ..operators.entries import edges, nth_page_key, page_entries, page_kind, parse_issues, tree_pages
-from ..operators.header import FIELDS, decode_headers, page_offset
+from ..operators.entries import edges, nth_page_key, page_entries, page_kind, parse_issues, root_pages, tree_pages
+from ..operators.header import FIELDS, SIGNATURE, decode_headers, page_offset
 from ..operators.page import checksum, checksum_as, decode_pages, page_tags, sweep, tag
 from .sql import register_functions
 from .synth import layout, log_time, page, page_header, tag_bytes
@@ -61,13 +61,14 @@ def branch_pages(spark: SparkSession, sf: str, **how) -> DataFrame:
 def logtime_filetime(spark, sf):
     e = _table(spark, sf, "events")
     raw = log_time(F.second("ts"), F.minute("ts"), F.hour("ts"), F.dayofmonth("ts") - 1, F.month("ts") - 1, F.year("ts") - 1900)
-    return e.select("event_id", raw.alias("raw")).select("event_id", filetime("raw").alias("filetime"))
+    return e.select("event_id", raw.alias("raw")).select("event_id", packed("raw").alias("p")).select("event_id", packed_filetime("p").alias("filetime"))
 
 
 def logtime_invalid(spark, sf):
     raw = log_time(F.col("l_orderkey") % 64, F.col("l_partkey") % 64, F.col("l_suppkey") % 25, F.col("l_orderkey") % 33, F.col("l_partkey") % 13, F.lit(100))
     rows = _table(spark, sf, "lineitem").select("l_orderkey", _long("l_linenumber"), "l_partkey", "l_suppkey", raw.alias("raw"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", filetime("raw").alias("filetime"), F.coalesce(log_time_error("raw"), F.lit("-")).alias("error"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", packed("raw").alias("p"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", packed_filetime("p").alias("filetime"), F.coalesce(packed_error("p"), F.lit("-")).alias("error"))
 
 
 def _headers(spark, sf, revision=20, version=0x620, state_value=3) -> DataFrame:
@@ -79,12 +80,13 @@ def _headers(spark, sf, revision=20, version=0x620, state_value=3) -> DataFrame:
         value = own.get(name, F.col("c_custkey") + i)
         data = log_time(F.col("c_custkey") % 60, F.lit(i), F.lit(1), F.col("c_custkey") % 28, F.lit(2), F.lit(100)) if kind == "t" else le(value, _SIZE[kind])
         parts.append((offset, _SIZE[kind], data))
+    parts.append((4, 4, le(F.when(F.col("c_custkey") % 2 == 1, SIGNATURE).otherwise(0), 4)))
     return settled(c.select("c_custkey", "c_nationkey", layout(668, *parts).alias("content")), "content")
 
 
 def header_decode(spark, sf):
     d = decode_headers(_headers(spark, sf))
-    return d.select("c_custkey", *(_long(n) for n, _, _ in FIELDS), "fingerprint", "state_label")
+    return d.select("c_custkey", *(_long(n) for n, _, _ in FIELDS), "fingerprint", "state_label", "signature_ok")
 
 
 def _header_decode_sql() -> str:
@@ -93,7 +95,7 @@ def _header_decode_sql() -> str:
     for i, (name, _, kind) in enumerate(FIELDS):
         day = "(date_diff('day', DATE '1601-01-01', DATE '2000-03-01') + c_custkey % 28)"
         columns.append(f"{f'((({day} * 24 + 1) * 60 + {i}) * 60 + c_custkey % 60) * 10000000' if kind == 't' else own.get(name, f'c_custkey + {i}')}::BIGINT AS {name}")
-    return f"SELECT c_custkey, {', '.join(columns)}, 'Exchange2013Ad2016' AS fingerprint, 'CleanShutdown' AS state_label FROM customer"
+    return f"SELECT c_custkey, {', '.join(columns)}, 'Exchange2013Ad2016' AS fingerprint, 'CleanShutdown' AS state_label, c_custkey % 2 = 1 AS signature_ok FROM customer"
 
 
 def header_fingerprint(spark, sf):
@@ -156,6 +158,26 @@ def bulk_page_headers(spark, sf):
     return d.select(*(_long(n) for n in d.columns))
 
 
+def _high_bits(spark, sf) -> DataFrame:
+    """Unsigned numbers with their highest bit set."""
+    top = (1 << 32) - 1
+    head = page_header(checksum=-F.col("s_suppkey"), last_modification_time=-(F.col("s_suppkey") * 7919), previous_page_number=top - F.col("s_suppkey"), next_page_number=F.lit(top), father_data_page_id=F.col("s_suppkey") + (1 << 31), available_data_size=F.lit(65535), available_uncommitted_data_size=F.col("s_suppkey") % 100 + 65000, available_data_offset=F.lit(32768), available_page_tag=F.lit(1), page_flags=top - F.col("s_suppkey"))
+    rows = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_number"), head.alias("data"))
+    return settled(rows, "data").select("*", F.lit(0x620).cast("long").alias("version"), F.lit(20).cast("long").alias("revision"), F.lit(40).cast("long").alias("page_size"))
+
+
+_HIGH = ("last_modification_time", "previous_page_number", "next_page_number", "father_data_page_id", "available_data_size", "available_uncommitted_data_size", "available_data_offset", "available_page_tag", "page_flags")
+
+
+def page_header_high_bits(spark, sf):
+    d = decode_pages(_high_bits(spark, sf))
+    return d.select("page_number", F.col("checksum.checksum").cast("string").alias("checksum"), *(F.col(n).cast("string").alias(n) for n in _HIGH))
+
+
+def bulk_high_bits(spark, sf):
+    return bulk.page_headers(_high_bits(spark, sf)).select("page_number", *(F.col(n).cast("string").alias(n) for n in _HIGH))
+
+
 def page_checksum_variants(spark, sf):
     revisions = F.explode(F.array(*(F.lit(r).cast("long") for r in (9, 11, 16, 17, 20)))).alias("revision")
     rows = _table(spark, sf, "supplier").select("s_suppkey", revisions, page_header(checksum=F.col("s_suppkey") * 4294967296 + F.col("s_nationkey")).alias("data"))
@@ -216,7 +238,7 @@ def tag_directory_truncated(spark, sf):
 
 def bulk_tags(spark, sf):
     d = bulk.page_tags(branch_pages(spark, sf, tag_flags=1, break_tag=F.col("page_number") % 7 + 3).select("page_number", "data", "revision", "page_size"))
-    return d.groupBy("page_number").agg(F.count("*").alias("n_tags"), F.sum("value_offset").alias("offsets"), F.sum("value_size").alias("sizes"))
+    return d.groupBy("page_number").agg(F.count("*").alias("n_tags"), F.sum("value_offset").alias("offsets"), F.sum("value_size").alias("sizes"), F.sum("tag_flags").alias("marks"))
 
 
 def tag_payloads(spark, sf):
@@ -318,6 +340,30 @@ def root_entries(spark, sf):
     return e.select("page_number", "kind", "entry_kind", _hex(F.col("page_key")).alias("page_key"), "child_page_number")
 
 
+def root_leaf_entries(spark, sf):
+    """Roots, half of them leaves as well, read as roots: a root header, and leaf or branch entries (every 5th is too short to be one)."""
+    p = F.col("p_partkey")
+    entry = F.concat(le(8, 2), key8("p_partkey"), le("p_size", 4), key8(p * 3))
+    first = F.concat(le(p, 4), le(2, 4), le(3, 4), le(F.col("p_size"), 4))
+    rows = _table(spark, sf, "part").select(p.alias("page_number"), F.when(p % 5 == 0, F.array(first, F.unhex(F.lit("00")))).otherwise(F.array(first, entry)).alias("payloads"))
+    flags = F.when(F.col("page_number") % 2 == 0, F.lit(0x3)).otherwise(F.lit(0x1))
+    raw = settled(rows, "payloads").select("page_number", page("payloads", flags=flags).alias("data"), F.lit(0x620).cast("long").alias("version"), F.lit(20).cast("long").alias("revision"), F.lit(4096).cast("long").alias("page_size"))
+    roots = root_pages(decode_pages(settled(raw, "data")))
+    e = page_entries(roots).select("page_number", "entry_kind", _hex(F.col("page_key")).alias("page_key"), "child_page_number", _hex(F.col("table_value")).alias("table_value"))
+    heads = roots.select("page_number", F.col("root_header.number_of_pages").alias("number_of_pages"), F.coalesce("error", F.lit("-")).alias("error"))
+    return heads.join(e, "page_number", "left").select("page_number", "number_of_pages", "error", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("entry_kind", "page_key", "table_value")), F.coalesce("child_page_number", F.lit(-1)).alias("child_page_number"))
+
+
+def common_page_keys(spark, sf):
+    """The first payload of branches and leaves; roots have none."""
+    rows = _table(spark, sf, "part").select(F.col("p_partkey").alias("page_number"), F.array(F.when(F.col("p_partkey") % 3 == 2, F.unhex(F.repeat(F.lit("01"), 16))).otherwise(F.concat(key8("p_partkey"), le("p_size", 3)))).alias("payloads"))
+    flags = F.when(F.col("page_number") % 3 == 0, F.lit(0)).when(F.col("page_number") % 3 == 1, F.lit(0x2)).otherwise(F.lit(0x1))
+    rows = settled(rows, "payloads").select("page_number", F.concat("payloads", F.array(F.unhex(F.lit("00000000")))).alias("payloads"))
+    raw = settled(rows, "payloads").select("page_number", page("payloads", flags=flags).alias("data"), F.lit(0x620).cast("long").alias("version"), F.lit(20).cast("long").alias("revision"), F.lit(4096).cast("long").alias("page_size"))
+    d = tree_pages(decode_pages(settled(raw, "data")))
+    return d.select("page_number", F.coalesce("kind", F.lit("none")).alias("kind"), _hex(F.col("common_page_key")).alias("common_page_key"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
 def page_keys(spark, sf):
     p = F.col("p_partkey")
     tail = F.when(p % 3 == 0, le(p, 3)).when(p % 3 == 1, le(p, 4)).otherwise(le(p, 5))
@@ -351,6 +397,8 @@ QUERIES = {
     "page_offset": page_offsets,
     "page_header_decode": page_header_decode,
     "bulk_page_headers": bulk_page_headers,
+    "page_header_high_bits": page_header_high_bits,
+    "bulk_high_bits": bulk_high_bits,
     "page_checksum_variants": page_checksum_variants,
     "page_flag_predicates": page_flag_predicates,
     "page_flag_labels": page_flag_names,
@@ -374,6 +422,8 @@ QUERIES = {
     "root_header_25": root_header_25,
     "root_header_25_old": root_header_25_old,
     "root_entries": root_entries,
+    "root_leaf_entries": root_leaf_entries,
+    "common_page_keys": common_page_keys,
     "page_keys": page_keys,
     "page_sweep": page_sweep,
     "sql_functions": sql_functions,
@@ -388,6 +438,10 @@ _BIT = lambda n: f"f & {PAGE_FLAGS[n]} > 0"
 _FLAGGED = f"SELECT *, {_FLAG_SQL}::BIGINT AS f FROM lineitem"
 
 
+_HIGH_SQL = """((18446744073709551616::HUGEINT - s_suppkey * 7919) % 18446744073709551616::HUGEINT)::VARCHAR AS last_modification_time, (4294967295 - s_suppkey)::VARCHAR AS previous_page_number, '4294967295' AS next_page_number, (s_suppkey + 2147483648)::VARCHAR AS father_data_page_id, '65535' AS available_data_size,
+(s_suppkey % 100 + 65000)::VARCHAR AS available_uncommitted_data_size, '32768' AS available_data_offset, '1' AS available_page_tag, (4294967295 - s_suppkey)::VARCHAR AS page_flags"""
+
+
 def _labels_sql(value: str) -> str:
     names = ("Root", "Leaf", "LongValue", "Empty", "Index", "Parent", "SpaceTree")
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {value} & {PAGE_FLAGS[n]} > 0 THEN '{n}' END" for n in names) + ")"
@@ -400,7 +454,7 @@ CASE WHEN error = '-' THEN (((date_diff('day', DATE '1601-01-01', make_date(2000
 FROM (SELECT *, CASE WHEN l_orderkey % 64 >= 60 THEN 'second out of range' WHEN l_partkey % 64 >= 60 THEN 'minute out of range' WHEN l_suppkey % 25 >= 24 THEN 'hour out of range' WHEN l_orderkey % 33 >= 31 THEN 'day out of range' WHEN l_partkey % 13 >= 12 THEN 'month out of range' ELSE '-' END AS error FROM lineitem)""",
     "header_decode": _header_decode_sql(),
     "header_fingerprint": """SELECT c_custkey, v AS version, r AS file_format_revision, l AS fingerprint,
-(CASE l WHEN 'OriginalOperatingSystemBetaFormat' THEN 0 WHEN 'WindowsXPSP3' THEN 1 WHEN 'ExchangeWithEcc' THEN 2 WHEN 'WindowsVista' THEN 3 WHEN 'Windows7SP0' THEN 4 WHEN 'Exchange2013Ad2016' THEN 5 WHEN 'Windows11_21H2' THEN 6 WHEN 'Windows11' THEN 7 WHEN 'NewSpaceManager' THEN 8 ELSE 9 END)::BIGINT AS fingerprint_code
+(CASE l WHEN 'NewSpaceManager' THEN 0 WHEN 'OriginalOperatingSystemBetaFormat' THEN 1 WHEN 'WindowsXPSP3' THEN 2 WHEN 'ExchangeWithEcc' THEN 3 WHEN 'WindowsVista' THEN 4 WHEN 'Windows7SP0' THEN 5 WHEN 'Exchange2013Ad2016' THEN 6 WHEN 'Windows11_21H2' THEN 7 WHEN 'Windows11' THEN 8 ELSE 9 END)::BIGINT AS fingerprint_code
 FROM (SELECT *, CASE WHEN v = 1568 THEN CASE r WHEN 0 THEN 'OriginalOperatingSystemBetaFormat' WHEN 9 THEN 'WindowsXPSP3' WHEN 11 THEN 'ExchangeWithEcc' WHEN 12 THEN 'WindowsVista' WHEN 17 THEN 'Windows7SP0' WHEN 20 THEN 'Exchange2013Ad2016' WHEN 200 THEN 'Windows11_21H2' WHEN 230 THEN 'Windows11' ELSE 'Other' END WHEN v = 1571 AND r = 0 THEN 'NewSpaceManager' ELSE 'Other' END AS l
 FROM (SELECT c_custkey, (CASE WHEN c_custkey % 5 = 0 THEN 1571 WHEN c_custkey % 7 = 0 THEN 1538 ELSE 1568 END)::BIGINT AS v, ([0, 9, 11, 12, 17, 20, 200, 230, 5][c_custkey % 9 + 1])::BIGINT AS r FROM customer))""",
     "header_state": """SELECT c_custkey, s AS state, CASE s WHEN 1 THEN 'JustCreated' WHEN 2 THEN 'DirtyShutdown' WHEN 3 THEN 'CleanShutdown' WHEN 4 THEN 'BeingConverted' WHEN 5 THEN 'ForceDetach' ELSE 'Unknown' END AS state_label,
@@ -409,6 +463,8 @@ FROM (SELECT c_custkey, (CASE WHEN c_custkey % 5 = 0 THEN 1571 WHEN c_custkey %
     "page_offset": "SELECT p_partkey, (p_partkey + 1) * 4096 AS page_offset FROM part",
     "page_header_decode": f"SELECT {_LINE_SQL}, l_suppkey, l_orderkey * 65536 AS checksum, 'Win7' AS kind, 40::BIGINT AS header_size, {_PAGE_HEADER_FIELDS} FROM lineitem",
     "bulk_page_headers": f"SELECT l_orderkey * 8 + l_linenumber AS page_number, {_PAGE_HEADER_FIELDS} FROM lineitem",
+    "page_header_high_bits": f"SELECT s_suppkey AS page_number, ((18446744073709551616::HUGEINT - s_suppkey) % 18446744073709551616::HUGEINT)::VARCHAR AS checksum, {_HIGH_SQL} FROM supplier",
+    "bulk_high_bits": f"SELECT s_suppkey AS page_number, {_HIGH_SQL} FROM supplier",
     "page_checksum_variants": """SELECT s_suppkey, revision::BIGINT AS revision, kind, (CASE WHEN kind = 'Win7' THEN s_suppkey * 4294967296 + s_nationkey ELSE -1 END)::BIGINT AS checksum,
 (CASE WHEN kind = 'Exchange2003' THEN s_nationkey ELSE -1 END)::BIGINT AS xor, (CASE WHEN kind = 'Exchange2003' THEN 0 ELSE -1 END)::BIGINT AS page_number,
 (CASE WHEN kind = 'WinVista' THEN s_nationkey ELSE -1 END)::BIGINT AS xor_checksum, (CASE WHEN kind = 'WinVista' THEN 0 ELSE -1 END)::BIGINT AS ecc_checksum,
@@ -421,7 +477,7 @@ FROM (SELECT *, CASE WHEN revision < 11 THEN 'Exchange2003' WHEN revision < 17 T
     "tag_decode_15bit": _tag_sql(15),
     "tag_directory": f"SELECT page_number, tag_number, (2 + (tag_number - 1) * 14)::BIGINT AS value_offset, 1::BIGINT AS tag_flags, 14::BIGINT AS value_size FROM ({_NUMBERED}) UNION ALL SELECT DISTINCT page_number, 0, 0, 1, 2 FROM ({_NUMBERED})",
     "tag_directory_truncated": f"SELECT page_number, least(count(*) + 1, page_number % 7 + 3)::BIGINT AS n_tags FROM ({_NUMBERED}) GROUP BY page_number",
-    "bulk_tags": f"SELECT page_number, n AS n_tags, (2 * (n - 1) + 14 * ((n - 1) * (n - 2) // 2))::BIGINT AS offsets, (2 + 14 * (n - 1))::BIGINT AS sizes FROM (SELECT page_number, least(count(*) + 1, page_number % 7 + 3)::BIGINT AS n FROM ({_NUMBERED}) GROUP BY page_number)",
+    "bulk_tags": f"SELECT page_number, n AS n_tags, (2 * (n - 1) + 14 * ((n - 1) * (n - 2) // 2))::BIGINT AS offsets, (2 + 14 * (n - 1))::BIGINT AS sizes, n AS marks FROM (SELECT page_number, least(count(*) + 1, page_number % 7 + 3)::BIGINT AS n FROM ({_NUMBERED}) GROUP BY page_number)",
     "tag_payload": f"SELECT page_number, tag_number, concat('0800', {_HEX8.format('o_orderkey')}, {_BYTES('o_custkey', 4)}) AS payload, '-' AS error FROM ({_NUMBERED}) UNION ALL SELECT DISTINCT page_number, 0, 'AABB', '-' FROM ({_NUMBERED})",
     "page_dispatch": f"SELECT {_LINE_SQL}, CASE WHEN f & 227 = 0 THEN 'Branch' WHEN f & 2 > 0 THEN 'Leaf' WHEN f & 1 > 0 THEN 'Root' ELSE 'none' END AS kind FROM ({_FLAGGED})",
     "branch_entries": f"SELECT page_number, tag_number, 8::BIGINT AS page_key_size, {_HEX8.format('o_orderkey')} AS page_key, o_custkey AS child_page_number, 'Branch' AS entry_kind FROM ({_NUMBERED})",
@@ -435,6 +491,10 @@ UNION ALL SELECT 'next', count(*), sum(page_number)::BIGINT, sum(page_number + 1
     "root_header_16": "SELECT n_nationkey::BIGINT + 1 AS page_number, 'Root' AS kind, 16::BIGINT AS header_size, n_nationkey::BIGINT AS number_of_pages, n_regionkey::BIGINT AS parent_father_data_page, 3::BIGINT AS extent_space, n_nationkey::BIGINT + 100 AS space_tree_page_number, '-' AS error FROM nation",
     "root_header_25_old": "SELECT n_nationkey::BIGINT + 1 AS page_number, 'Root' AS kind, -1::BIGINT AS header_size, -1::BIGINT AS number_of_pages, -1::BIGINT AS parent_father_data_page, -1::BIGINT AS extent_space, -1::BIGINT AS space_tree_page_number, 'root header of 25 bytes' AS error FROM nation",
     "root_entries": f"SELECT s_nationkey::BIGINT + 1 AS page_number, 'Root' AS kind, 'Branch' AS entry_kind, {_HEX8.format('s_suppkey')} AS page_key, s_suppkey AS child_page_number FROM supplier",
+    "root_leaf_entries": f"""SELECT p_partkey AS page_number, p_partkey AS number_of_pages, '-' AS error, CASE WHEN p_partkey % 5 = 0 THEN '-' WHEN p_partkey % 2 = 0 THEN 'Leaf' ELSE 'Branch' END AS entry_kind, CASE WHEN p_partkey % 5 = 0 THEN '-' ELSE {_HEX8.format('p_partkey')} END AS page_key,
+CASE WHEN p_partkey % 5 = 0 OR p_partkey % 2 = 1 THEN '-' ELSE {_HEX8.format('(p_partkey * 3)')} END AS table_value, (CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size END)::BIGINT AS child_page_number FROM part""",
+    "common_page_keys": f"""SELECT p_partkey AS page_number, CASE p_partkey % 3 WHEN 0 THEN 'Branch' WHEN 1 THEN 'Leaf' ELSE 'Root' END AS kind,
+CASE WHEN p_partkey % 3 = 2 THEN '-' ELSE concat({_HEX8.format('p_partkey')}, {_BYTES('p_size', 3)}) END AS common_page_key, '-' AS error FROM part""",
     "page_keys": f"SELECT p_partkey, {_BYTES('(p_partkey % 65536)', 2)} AS suffix, {_BYTES('p_size', 3)} AS prefix, CASE WHEN p_partkey % 3 = 1 THEN p_partkey ELSE 0 END AS page_number, '-' AS error FROM part",
     "page_sweep": f"SELECT CASE WHEN page_number % 4 = 2 THEN 'Branch' ELSE 'none' END AS kind, count(*) AS pages, sum(n + 1)::BIGINT AS tags FROM (SELECT page_number, count(*) AS n FROM ({_NUMBERED}) GROUP BY page_number) WHERE page_number % 4 IN (2, 3) GROUP BY 1",
     "sql_functions": f"""SELECT c_custkey, (c_custkey + 1) * 8192 AS page_offset, CASE s WHEN 1 THEN 'JustCreated' WHEN 2 THEN 'DirtyShutdown' WHEN 3 THEN 'CleanShutdown' WHEN 4 THEN 'BeingConverted' WHEN 5 THEN 'ForceDetach' ELSE 'Unknown' END AS state, {_labels_sql('c_custkey')} AS flags,

@@ -8,12 +8,12 @@ from ..functions.labels import FINGERPRINTS, NAMED_FLAGS, PAGE_FLAGS, STATES
 from ..operators.entries import entries, parse_issues, tree_pages
 from ..operators.header import decode_headers
 from ..operators.page import decode_pages, page_tags
-from ..sources.pages import read_files, read_pages
+from ..sources.pages import read_headers, read_pages
 
 
 def register_views(spark: SparkSession, path: str, mode: str = "PERMISSIVE", **options) -> None:
     """db_header, page, page_tag, page_entry and parse_issue of the files at path."""
-    decode_headers(read_files(spark, path), mode=mode).createOrReplaceTempView("db_header")
+    decode_headers(read_headers(spark, path), mode=mode).createOrReplaceTempView("db_header")
     pages = decode_pages(read_pages(spark, path, **options), mode)
     trees = tree_pages(pages)
     pages.createOrReplaceTempView("page")

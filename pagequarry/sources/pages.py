@@ -1,8 +1,13 @@
-"""Scans of database files: whole files, and page ranges through a data source of our own.
+"""Scans of database files: headers, page ranges through a data source of our own, and whole files.
 
-``ese_pages`` reads a file's header, cuts its pages into ranges of ``pages_per_partition`` and reads each
-range in a task of its own; no file is held whole. Options: path (a file, or a folder),
-pages_per_partition, start_page. ``binary_pages`` does the same from binaryFile rows, for small files.
+``ese_pages`` cuts files into ranges of ``bytes_per_partition`` by their listed sizes alone; each task reads the
+headers of its own files and the pages that begin in its range, so the driver opens no file and none is
+held whole. With ``pages_per_partition`` the driver reads the headers instead, and leaves out ranges that a filter
+on page_number excludes: for a few large files. Other options: path (a file, or a folder),
+start_page. ``binary_pages`` does the same from binaryFile rows, for small files.
+
+A file whose header is short, or names no page size, is one row without page_number; a page that the file's
+end cuts is a row with what there is of it. decode_pages gives both their error. (Spark's binaryFile lists no empty files.)
 """
 
 from __future__ import annotations
@@ -19,60 +24,93 @@ from ..functions.binary import u32
 from ..operators.header import SIZE
 
 SCHEMA = "path string, page_number bigint, version bigint, revision bigint, page_size bigint, data binary"
-BATCH_BYTES = 1 << 22
+BATCH_BYTES, PARTITION_BYTES, FILES = 1 << 22, 1 << 26, 256
 
 
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
 
+def read_head(file) -> tuple[bytes, int, int, int]:
+    """(header, version, revision, page size), the numbers 0 where the header is short."""
+    head = file.read(SIZE)
+    return (head, *(struct.unpack_from("<I", head, at)[0] for at in (8, 232, 236))) if len(head) == SIZE else (head, 0, 0, 0)
+
+
 class PageRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int, version: int, revision: int, page_size: int):
-        self.path, self.first, self.last = path, first, last
-        self.version, self.revision, self.page_size = version, revision, page_size
+    """Pieces of files: (path, first byte, byte behind the last)."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
 
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.per = int(options.get("pages_per_partition", 16_384))
-        self.low, self.high = int(options.get("start_page", 1)), 2**62
+        self.bytes = int(options.get("bytes_per_partition", PARTITION_BYTES))
+        self.per = int(options.get("pages_per_partition", 0))
+        self.low, self.high, self.bounded = max(0, int(options.get("start_page", 1))), 2**62, False
 
-    def files(self) -> list[str]:
+    def files(self) -> list[tuple[str, int]]:
         fs, root = open_fs(self.path)
-        if fs.get_file_info(root).type == pyarrow.fs.FileType.File:
-            return [self.path]
+        info = fs.get_file_info(root)
+        if info.type == pyarrow.fs.FileType.File:
+            return [(self.path, info.size)]
         found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
-        return [self.path.rstrip("/") + f.path[len(root.rstrip("/")) :] for f in found if f.is_file]
+        return [(self.path.rstrip("/") + f.path[len(root.rstrip("/")) :], f.size) for f in found if f.is_file]
 
     def partitions(self) -> list[PageRange]:
-        out = []
-        for path in self.files():
+        if self.per:
+            return [PageRange([p]) for p in self.by_pages()] or [PageRange([])]
+        out, now, held = [], [], 0
+        for path, size in self.files():
+            for first in range(0, max(size, 1), self.bytes):
+                piece = (path, first, min(first + self.bytes, max(size, 1)))
+                if now and held + piece[2] - first > self.bytes:
+                    out.append(PageRange(now))
+                    now, held = [], 0
+                now.append(piece)
+                held += piece[2] - first
+        return [*out, PageRange(now)]
+
+    def by_pages(self):
+        for path, size in self.files():
             fs, at = open_fs(path)
-            with fs.open_input_file(at) as f:
-                head, size = f.read(SIZE), f.size()
-            if len(head) < SIZE:
+            with fs.open_input_stream(at) as f:
+                page_size = read_head(f)[3]
+            if not page_size:
+                yield path, 0, 1
                 continue
-            version, (revision, page_size) = struct.unpack_from("<I", head, 8)[0], struct.unpack_from("<II", head, 232)
-            last = min(self.high, size // page_size - 2) if page_size else 0
-            for first in range(max(self.low, 0), last + 1, self.per):
-                out.append(PageRange(path, first, min(last, first + self.per - 1), version, revision, page_size))
-        return out or [PageRange("", 1, 0, 0, 0, 1)]
+            last = min(self.high, -(-size // page_size) - 2)
+            for first in range(self.low, last + 1, self.per):
+                yield path, (first + 1) * page_size, (min(last, first + self.per - 1) + 2) * page_size
 
     def read(self, partition: PageRange):
-        p = partition
-        if p.last < p.first:
-            return
-        fs, at = open_fs(p.path)
-        step = max(1, BATCH_BYTES // p.page_size)
+        for path, start, end in partition.pieces:
+            yield from self.piece(path, start, end)
+
+    def piece(self, path: str, start: int, end: int):
+        fs, at = open_fs(path)
         with fs.open_input_file(at) as f:
-            for first in range(p.first, p.last + 1, step):
-                numbers = list(range(first, min(p.last, first + step - 1) + 1))
-                f.seek((first + 1) * p.page_size)
-                raw = f.read(len(numbers) * p.page_size)
-                pages = [raw[i * p.page_size : (i + 1) * p.page_size] for i in range(len(numbers))]
+            head, version, revision, size = read_head(f)
+            if not size:
+                if start == 0 and not self.bounded:
+                    yield _rows(path, [None], *([n if len(head) == SIZE else None] for n in (version, revision, size)), [head])
+                return
+            first = max(self.low, -(-start // size) - 1)
+            last = min(self.high, -(-min(end, f.size()) // size) - 2)
+            step = max(1, BATCH_BYTES // size)
+            for first_now in range(first, last + 1, step):
+                numbers = list(range(first_now, min(last, first_now + step - 1) + 1))
+                f.seek((first_now + 1) * size)
+                raw = f.read(len(numbers) * size)
                 n = len(numbers)
-                yield pa.RecordBatch.from_arrays([pa.array([p.path] * n), pa.array(numbers, pa.int64()), *(pa.array([v] * n, pa.int64()) for v in (p.version, p.revision, p.page_size)), pa.array(pages, pa.binary())], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield _rows(path, numbers, [version] * n, [revision] * n, [size] * n, [raw[i * size : (i + 1) * size] for i in range(n)])
+
+
+def _rows(path: str, numbers: list, versions: list, revisions: list, sizes: list, data: list) -> pa.RecordBatch:
+    longs = (pa.array(c, pa.int64()) for c in (numbers, versions, revisions, sizes))
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(data)), *longs, pa.array(data, pa.binary())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 class PruningPageReader(PageReader):
@@ -83,7 +121,8 @@ class PruningPageReader(PageReader):
             value = getattr(f, "value", None)
             if getattr(f, "attribute", None) != ("page_number",) or not isinstance(value, int):
                 yield f
-            elif isinstance(f, EqualTo):
+                continue
+            if isinstance(f, EqualTo):
                 self.low, self.high = max(self.low, value), min(self.high, value)
             elif isinstance(f, GreaterThan):
                 self.low = max(self.low, value + 1)
@@ -95,6 +134,8 @@ class PruningPageReader(PageReader):
                 self.high = min(self.high, value)
             else:
                 yield f
+                continue
+            self.bounded = True  # rows without page_number don't meet a bound
 
 
 class PageSource(DataSource):
@@ -114,6 +155,29 @@ class PruningPageSource(PageSource):
         return PruningPageReader(self.options)
 
 
+class HeaderReader(PageReader):
+    def partitions(self) -> list[PageRange]:
+        found = [(path, 0, 0) for path, _ in self.files()]
+        return [PageRange(found[at : at + FILES]) for at in range(0, max(len(found), 1), FILES)]
+
+    def piece(self, path: str, start: int, end: int):
+        fs, at = open_fs(path)
+        with fs.open_input_stream(at) as f:
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read(SIZE)], pa.binary())], names=["path", "content"])
+
+
+class HeaderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "ese_headers"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return HeaderReader(self.options)
+
+
 def read_pages(spark: SparkSession, path: str, **options) -> DataFrame:
     pruning = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
     spark.dataSource.register(PruningPageSource if pruning else PageSource)
@@ -125,13 +189,22 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, content: the first 668 bytes of each file, FILES files to a task."""
+    spark.dataSource.register(HeaderSource)
+    return spark.read.format("ese_headers").option("path", path).load()
+
+
 def binary_pages(files: DataFrame, start_page: int = 1) -> DataFrame:
     """The rows of SCHEMA from path, content."""
-    size = u32("content", 236)
-    rows = files.where(F.octet_length("content") >= SIZE).select("path", "content", u32("content", 8).alias("version"), u32("content", 232).alias("revision"), size.alias("page_size"))
-    last = F.floor(F.octet_length("content") / F.col("page_size")) - 2
-    rows = rows.where("page_size > 0").select("*", F.explode(F.when(last >= start_page, F.sequence(F.lit(start_page).cast("long"), last.cast("long")))).alias("page_number"))
+    length, size = F.octet_length("content"), u32("content", 236)
+    whole = length >= SIZE
+    rows = files.select("path", "content", *(F.when(whole, c).alias(n) for c, n in ((u32("content", 8), "version"), (u32("content", 232), "revision"), (size, "page_size"))))
+    last = (F.ceil(length / F.col("page_size")) - 2).cast("long")
+    numbers = F.when(F.coalesce(F.col("page_size"), F.lit(0)) <= 0, F.array(F.lit(None).cast("long"))).when(last >= start_page, F.sequence(F.lit(start_page).cast("long"), last))
+    rows = rows.select("*", F.explode(numbers).alias("page_number"))
     data = F.substring("content", ((F.col("page_number") + 1) * F.col("page_size") + 1).cast("int"), F.col("page_size").cast("int"))
+    data = F.when(F.col("page_number").isNull(), F.substring("content", 1, SIZE)).otherwise(data)
     return rows.select("path", "page_number", "version", "revision", "page_size", data.alias("data"))
 
 

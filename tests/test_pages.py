@@ -106,10 +106,36 @@ def test_views_over_files(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM parse_issue").first()[0] == 0
 
 
+def test_short_files_and_cut_pages(spark, tmp_path):
+    """A file of under a header, one that names no page size, and one that ends within a page: rows with an error."""
+    image = bytearray(4096)
+    for offset, value in ((8, 0x620), (52, 3), (232, 20), (236, 4096)):
+        struct.pack_into("<I", image, offset, value)
+    (tmp_path / "cut.edb").write_bytes(bytes(image) * 2 + bytes(4096) + bytes(100))
+    (tmp_path / "short.edb").write_bytes(b"abc")
+    (tmp_path / "zero.edb").write_bytes(bytes(700))
+    (tmp_path / "empty.edb").write_bytes(b"")
+    want = [(None, 0, "header is short"), (None, 3, "header is short"), (None, 668, "page data has another size than a page"), (1, 4096, None), (2, 100, "page data has another size than a page")]
+    look = lambda pages: sorted(((r.page_number, len(r.data), r.error) for r in decode_pages(pages).collect()), key=str)
+    for options in ({}, {"pages_per_partition": 1}, {"bytes_per_partition": 3000}):
+        assert look(read_pages(spark, str(tmp_path), **options)) == sorted(want, key=str)
+    assert look(binary_pages(read_files(spark, str(tmp_path)))) == sorted(want[1:], key=str)  # binaryFile lists no empty files
+    register_views(spark, str(tmp_path))
+    assert sorted(r[0] or "" for r in spark.sql("SELECT error FROM db_header").collect()) == ["", "", "header is short", "header is short"]
+    with pytest.raises(Exception, match="another size|header is short"):
+        decode_pages(read_pages(spark, str(tmp_path)), "FAILFAST").collect()
+
+
 def test_reachable(spark):
     e = spark.createDataFrame([(1, 2, "child"), (2, 3, "child"), (3, 1, "child"), (9, 8, "child")], "src_page long, dst_page long, edge_kind string")
     got = reachable(e, spark.createDataFrame([(1,)], "page long")).collect()
     assert sorted(map(tuple, got)) == [(1, 0), (2, 1), (3, 2)]
+    line = spark.range(70).selectExpr("id AS src_page", "id + 1 AS dst_page", "'child' AS edge_kind")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert reachable(line, spark.createDataFrame([(0,)], "page long")).agg(F.max("depth")).first()[0] == 70
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
@@ -150,6 +176,8 @@ def test_pushdown_and_debug_text(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     assert read_pages(spark, path, pages_per_partition=1).rdd.getNumPartitions() == 3
+    assert read_pages(spark, path, bytes_per_partition=4096).rdd.getNumPartitions() == 5
+    assert sorted(r.page_number for r in read_pages(spark, path, bytes_per_partition=4096).collect()) == [1, 2, 3]
     whole = binary_pages(read_files(spark, path))
     assert sorted(map(tuple, whole.select("page_number", "page_size").collect())) == [(1, 4096), (2, 4096), (3, 4096)]
     write_debug(rows.select("page_number"), "page", str(tmp_path / "text"))
