@@ -16,8 +16,10 @@ key of any number of documents costs a row for each task.
 What the keys tie together is a family (connected components). All links lie within families. A family is
 verified on the shingles themselves: least frequent first, documents that share a prefix shingle
 and aren't yet in one component are compared exactly; so a family of thousands of likes needs no
-pair of each two of them. Families of more than FAMILY shingles are dealt as pairs of blocks, which is
-exact as well, and the blocks' links are joined into components.
+pair of each two of them. A family of more than FAMILY shingles is dealt to blocks, each verified by itself; the
+largest components of neighbouring blocks are compared by REPS members each; and what is then outside
+the family's largest component (as a rule little or nothing) is compared with every block, so all pairs of
+different components have met and no member goes to more tasks than there are blocks of such outsiders.
 
 ``percent`` is the least 100 * intersection / union of a link. Default: 5 words, 80; the query of the contract: 3 words, 90.
 
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, materialise_at, settle, shuffle_partitions, text_or_empty
@@ -45,8 +47,9 @@ from .grams import MIX1, lean, mix, signed, slices, words
 SHINGLE, PERCENT = 5, 80
 #: Documents whose keys a task joins among themselves before it sends them on.
 TASK_KEYS = 1 << 18
-#: Shingles of a family that one task verifies.
-FAMILY = 4_000_000
+#: Shingles of a family that one task verifies, and members by which a block's largest component is known to the next block.
+FAMILY, REPS = 4_000_000, 64
+MEMBERS = "family long, one int, two int, own long, root long, found binary"
 WIDTH = np.uint64(1 << 16)
 LOW48, SEVEN = np.uint64((1 << 48) - 1), np.uint64(7)
 #: What goes to a bucket: a key and the one set of a chunk that has it, a key of several, a set's key, a set.
@@ -359,13 +362,16 @@ def candidates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 class Family:
-    """Members of a family and which of them are known to be connected."""
+    """Members of a family and which of them are known to be connected: at first those of one root."""
 
-    def __init__(self, names: list[int], found: list[np.ndarray], percent: int):
+    def __init__(self, names: list[int], roots: list[int], found: list[np.ndarray], percent: int):
         order = sorted(range(len(names)), key=lambda i: (len(found[i]), names[i]))
         self.names, self.found, self.percent = [names[i] for i in order], [found[i] for i in order], percent
-        self.part = np.arange(len(names))
-        self.members = {i: [i] for i in range(len(names))}
+        first: dict[int, int] = {}
+        self.part = np.array([first.setdefault(roots[i], at) for at, i in enumerate(order)])
+        self.members: dict[int, list[int]] = {}
+        for at, p in enumerate(self.part.tolist()):
+            self.members.setdefault(p, []).append(at)
 
     def unite(self, i: int, j: int) -> None:
         a, b = int(self.part[i]), int(self.part[j])
@@ -410,6 +416,73 @@ class Family:
         return [(self.names[i], least[int(self.part[i])]) for i in range(n)]
 
 
+def verified(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between linked members. rows: MEMBERS; each (family, one, two) comes whole to one task, and FAMILY bounds it."""
+
+    def verify(batches):
+        now, names, roots, found, seen = None, [], [], [], set()
+
+        def done():
+            if len(set(roots)) < 2:
+                return []
+            pairs = [(a, b) for a, b in Family(names, roots, found, percent).link() if a != b]
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])] if pairs else []
+
+        for b in batches:
+            for family, one, two, own, root, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (family, one, two) != now:
+                    yield from done()
+                    now, names, roots, found, seen = (family, one, two), [], [], [], set()
+                if own not in seen:
+                    seen.add(own)
+                    names.append(own)
+                    roots.append(root)
+                    found.append(np.frombuffer(raw, np.uint64))
+        yield from done()
+
+    names = [x.split()[0] for x in MEMBERS.split(", ")]
+    return rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), "family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(lean(verify), "a long, b long")
+
+
+def _largest(members: DataFrame, *by: str) -> DataFrame:
+    """by, root: the component with most members."""
+    counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.max(F.struct("n", "root")).alias("top")).select(*by, F.col("top.root").alias("root"))
+
+
+def across_blocks(members: DataFrame, edges: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """More edges, for families of several blocks: after these, every two members that link are connected. members: family, blocks, block, own, found; edges: within blocks."""
+    spark, paths = members.sparkSession, []
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        found, path = components(edges)
+        rows, rows_path = materialise_at(members.join(found, F.col("own") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "own").alias("root")), "rooted")
+        discard(path, spark)
+        paths.append(rows_path)
+        return rows
+
+    now = rooted(edges)
+    inside = now.join(_largest(now, "family", "block"), ["family", "block", "root"])
+    order = Window.partitionBy("family", "block").orderBy("own")  # a block's members, which FAMILY bounds
+    reps = inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REPS)
+    chain = reps.select("family", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("one"), F.lit(0).alias("two"), "own", "root", "found")
+    more, path = materialise_at(verified(chain, percent), "chain")
+    paths.append(path)
+    edges = edges.unionByName(more)
+    now = rooted(edges)
+    largest = _largest(now, "family").withColumnRenamed("root", "largest")
+    outside = now.join(largest, "family").where("root <> largest")
+    sizes = outside.groupBy("family").agg(F.ceil(F.sum(F.octet_length("found") / 8) / (FAMILY / 2)).cast("int").alias("others"))
+    sizes, path = materialise_at(sizes, "outside")
+    paths.append(path)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    insiders = now.join(sizes, "family").select("family", F.col("block").alias("one"), each("others").alias("two"), "own", "root", "found")
+    outsiders = outside.join(sizes, "family").select("family", each("blocks").alias("one"), F.pmod("own", "others").cast("int").alias("two"), "own", "root", "found")
+    last, path = materialise_at(verified(insiders.unionByName(outsiders), percent), "outsiders")
+    paths.append(path)
+    return edges.unionByName(last), paths
+
+
 def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[str]]:
     """(node, root): sets that link with others, and the least set of their component. unique: a row for each set, as linked() makes it."""
     spark = docs.sparkSession
@@ -418,10 +491,10 @@ def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tup
     reps = unique.join(families, F.col("set") == F.col("node"))
     wanted, wanted_path = materialise_at(reps.select("rep.doc_id", "rep.h", "set", "n", F.col("root").alias("family")), "family-members")
     sizes = wanted.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    blocks = F.ceil(F.col("total") / (FAMILY / 2)).cast("int")
-    dealt = wanted.join(sizes.where("members > 1").select("family", F.when(F.col("total") > FAMILY, blocks).otherwise(1).alias("blocks")), "family")
-    one_text = _texts(docs).hint("merge").join(dealt, ["doc_id", "h"])  # alike at every size
-    one_text = one_text.select("family", "blocks", "set", "text")
+    blocks = F.when(F.col("total") > FAMILY, F.ceil(F.col("total") / (FAMILY / 2))).otherwise(1).cast("int")
+    sizes, sizes_path = materialise_at(sizes.where("members > 1").select("family", blocks.alias("blocks")), "families")
+    dealt, dealt_path = materialise_at(wanted.join(sizes, "family"), "dealt")
+    one_text = _texts(docs).hint("merge").join(dealt, ["doc_id", "h"]).select("family", "blocks", "set", "text")  # alike at every size
 
     def read(batches):
         done = set()  # rows equal in doc_id and text are one set; a later task may bring it again
@@ -433,42 +506,23 @@ def links(docs: DataFrame, unique: DataFrame, shingle: int, percent: int) -> tup
                 done.add(own)
                 if len(done) > 1 << 17:
                     done.clear()
-                found = shingles(text, shingle).tobytes()
-                if count == 1:
-                    out.append((family, 0, 0, own, found))
-                else:
-                    mine = own % count
-                    out += [(family, min(mine, o), max(mine, o), own, found) for o in range(count)]
+                out.append((family, count, own % count, own, shingles(text, shingle).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["family", "one", "two", "own", "found"])
-
-    def verify(batches):
-        now, names, found = None, [], []
-
-        def done():
-            if len(names) < 2:
-                return []
-            pairs = [(a, b) for a, b in Family(names, found, percent).link() if a != b]
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])] if pairs else []
-
-        for b in batches:
-            for family, one, two, own, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (family, one, two) != now:
-                    yield from done()
-                    now, names, found = (family, one, two), [], []
-                if not names or own not in seen:
-                    if not names:
-                        seen = set()
-                    seen.add(own)
-                    names.append(own)
-                    found.append(np.frombuffer(raw, np.uint64))
-        yield from done()
-
-    # a family's block pair comes whole to one task; FAMILY bounds it
-    members = one_text.mapInArrow(lean(read), "family long, one int, two int, own long, found binary")
-    edges = members.repartition(shuffle_partitions(spark), "family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(lean(verify), "a long, b long")
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["family", "blocks", "block", "own", "found"])
+
+    paths = [family_path, wanted_path, sizes_path, dealt_path]
+    members = one_text.mapInArrow(lean(read), "family long, blocks int, block int, own long, found binary")
+    several = sizes.where("blocks > 1").limit(1).count() > 0
+    if several:
+        members, path = materialise_at(members, "members")
+        paths.append(path)
+    edges = verified(members.select("family", F.col("block").alias("one"), F.lit(0).alias("two"), "own", F.col("own").alias("root"), "found"), percent)
+    if several:
+        edges, path = materialise_at(edges, "links")
+        edges, more = across_blocks(members.where("blocks > 1"), edges, percent)
+        paths += [path, *more]
     found, path = components(edges)
-    for p in (family_path, wanted_path):
+    for p in paths:
         discard(p, spark)
     return found, [path]
 
