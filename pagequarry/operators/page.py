@@ -63,12 +63,16 @@ def checksum_as(checksum: Column, kind: str) -> tuple[Column, Column]:
 
 def tag(raw: Column, revision: Column | str, page_size: Column | str) -> Column:
     """A 4-byte slot: size, then offset, with the flags in the offset's high bits."""
+    return _tag_of(u32(raw, 0), revision, page_size)
+
+
+def _tag_of(slot: Column, revision: Column | str, page_size: Column | str) -> Column:
     wide = (col(revision) >= WIDE_REVISION) & col(page_size).isin(*WIDE_SIZES)
-    size, offset = u16(raw, 0), u16(raw, 2)
+    size, offset = slot.bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int"), F.shiftright(slot, 16).cast("int")
     mask = F.when(wide, F.lit(0x7FFF)).otherwise(F.lit(0x1FFF))
     flags = F.when(wide, F.shiftright(offset, 15)).otherwise(F.shiftright(offset, 13))
     return F.when(
-        F.octet_length(raw) >= 4,
+        slot.isNotNull(),
         F.struct(offset.bitwiseAND(mask).alias("value_offset"), flags.cast("int").alias("tag_flags"), size.bitwiseAND(mask).alias("value_size")),
     )
 
@@ -78,7 +82,8 @@ def tag_directory(data: Column | str, page_size: Column | str, revision: Column
     data, page_size, count = col(data), col(page_size), col(count)
     length = F.octet_length(data)
     runs = (~has_flag(flags, "Empty")) & (count > 1) & (length > count)
-    slots = F.transform(F.sequence(F.lit(1), count), lambda i: tag(piece(data, page_size - i * 4, F.lit(4)), revision, page_size))
+    # the slots' numbers first: what is made of one names it several times
+    slots = F.transform(F.transform(F.sequence(F.lit(1), count), lambda i: u32(data, page_size - i * 4)), lambda slot: _tag_of(slot, revision, page_size))
     good = F.transform(slots, lambda t: F.coalesce(t["value_offset"] + t["value_size"] <= length, F.lit(False)))
     stop = F.array_position(good, F.lit(False))
     return F.when(runs, F.when(stop == 0, slots).otherwise(F.slice(slots, F.lit(1), (stop - 1).cast("int")))).otherwise(F.array().cast("array<struct<value_offset:int,tag_flags:int,value_size:int>>"))

@@ -42,12 +42,14 @@ def page(payloads: Column | str, page_size: int = 4096, flags: Column | int = 0,
     body = F.aggregate(payloads, F.lit(b""), lambda a, x: F.concat(a, x))
 
     def slot(x: Column, i: Column) -> Column:
-        size = F.octet_length(x)
+        size = x["size"]
         if break_tag is not None:
             size = F.when(i == col(break_tag), F.lit(8191)).otherwise(size)
-        return F.hex(tag_bytes(size, F.get(offsets, i), tag_flags))
+        return F.hex(tag_bytes(size, x["at"], tag_flags))
 
-    tags = F.unhex(F.array_join(F.reverse(F.transform(payloads, slot)), ""))
+    # with their offsets first: a slot's bytes name these several times
+    placed = F.zip_with(payloads, F.slice(offsets, F.lit(1), F.size(payloads)), lambda x, o: F.struct(F.octet_length(x).alias("size"), o.alias("at")))
+    tags = F.unhex(F.array_join(F.reverse(F.transform(placed, slot)), ""))
     count = F.size(payloads)
     head = page_header(available_page_tag=count, page_flags=flags, **header)
     fill = F.lit(page_size - 40) - F.octet_length(body) - count * 4
