@@ -12,7 +12,7 @@ from ..operators import bulk
 from ..operators.entries import edges, nth_page_key, page_entries, page_kind, parse_issues, root_pages, tree_pages
 from ..operators.header import FIELDS, SIGNATURE, decode_headers, page_offset
 from ..operators.page import checksum, checksum_as, decode_pages, page_tags, sweep, tag
-from .sql import register_functions
+from .sql import compiled, register_functions
 from .synth import layout, log_time, page, page_header, tag_bytes
 
 PER_PAGE = 40
@@ -20,7 +20,7 @@ _SIZE = {"i": 4, "q": 8, "t": 8}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return compiled(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _long(name: str, alias: str | None = None) -> Column:

@@ -11,8 +11,21 @@ from ..operators.page import decode_pages, page_tags
 from ..sources.pages import read_headers, read_pages
 
 
+#: HotSpot interprets methods of more bytes than this; Spark then makes several smaller ones of a projection.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def compiled(spark: SparkSession) -> SparkSession:
+    """The session, with wide decoding projections cut into methods that get compiled; a limit that it has stays."""
+    name, most = METHOD_LIMIT
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, most)
+    return spark
+
+
 def register_views(spark: SparkSession, path: str, mode: str = "PERMISSIVE", **options) -> None:
-    """db_header, page, page_tag, page_entry and parse_issue of the files at path."""
+    """db_header, page, page_tag, page_entry and parse_issue of the files at path; the session is compiled()."""
+    compiled(spark)
     decode_headers(read_headers(spark, path), mode=mode).createOrReplaceTempView("db_header")
     pages = decode_pages(read_pages(spark, path, **options), mode)
     trees = tree_pages(pages)
