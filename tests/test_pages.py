@@ -151,6 +151,19 @@ def test_query(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["root_entries"])
+def test_roots_of_many_suppliers(spark, tmp_path, name):
+    """More suppliers than a page holds, in one nation and in one range of keys; a nation without any; a key that comes twice."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE nation AS SELECT i AS n_nationkey, i % 2 AS n_regionkey FROM range(3) t(i)")
+    con.sql("CREATE TABLE supplier AS SELECT i AS s_suppkey, (i % 10 // 9)::BIGINT AS s_nationkey FROM (SELECT unnest(range(5000)) AS i UNION ALL SELECT 7)")
+    for t in ("nation", "supplier"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({Q.ORACLES[name]})").fetchall())
+
+
 def three_pages(folder):
     image = bytearray(4096)
     for offset, value in ((8, 0x620), (232, 20), (236, 4096)):
