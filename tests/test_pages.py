@@ -151,7 +151,7 @@ def test_query(spark, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["root_entries", "root_header_16", "root_header_25"])
+@pytest.mark.parametrize("name", ["root_entries", "root_header_16", "root_header_25", "root_header_25_old"])
 def test_roots_of_many_suppliers(spark, tmp_path, name):
     """More suppliers than a page holds, in one nation and in one range of keys; a nation without any; a key that comes twice."""
     con = duckdb.connect()
