@@ -312,22 +312,27 @@ def leaf_space_entries_no_common(spark, sf):
 
 
 def _roots(spark, sf, long: bool, revision: int = 20) -> DataFrame:
-    """A root for each nation, and as many more of its number and header, as other files have them, as its suppliers fill as entries."""
+    """A root for each row of nation, and as many more of its number and header, as other files have them, as its suppliers fill as entries; a NULL key isn't bytes."""
     first = F.concat(le("n_pages", 4), le(9, 1) if long else F.lit(b""), le("parent", 4), le(3, 4), le("tree", 4), *([F.unhex(F.lit("0102030405060708"))] if long else []))
     nations = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("n_pages"), F.col("n_regionkey").alias("parent"), (F.col("n_nationkey") + 100).alias("tree"), (F.col("n_nationkey") + 1).cast("long").alias("page_number"))
-    suppliers = _table(spark, sf, "supplier").groupBy((F.col("s_nationkey") + 1).cast("long").alias("page_number"), F.floor(F.col("s_suppkey") / ROOT_KEYS)).agg(F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("o"), F.concat(le(8, 2), key8("s_suppkey"), le("s_suppkey", 4)).alias("p")))).alias("xs"))
+    heads = nations.where("page_number IS NOT NULL").select("page_number", first.alias("first"))
+    suppliers = _table(spark, sf, "supplier").where("s_suppkey IS NOT NULL").groupBy((F.col("s_nationkey") + 1).cast("long").alias("page_number"), F.floor(F.col("s_suppkey") / ROOT_KEYS)).agg(F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("o"), F.concat(le(8, 2), key8("s_suppkey"), le("s_suppkey", 4)).alias("p")))).alias("xs"))
     parts = F.transform(F.sequence(F.lit(1), F.size("xs"), F.lit(PER_ROOT)), lambda at: F.slice("xs", at, F.lit(PER_ROOT)))
     filled = suppliers.select("page_number", F.explode(parts).alias("xs")).select("page_number", F.transform("xs", lambda x: x["p"]).alias("ps"))
-    bare = nations.select("page_number", F.array().cast("array<binary>").alias("ps"))
+    filled = filled.join(F.broadcast(heads.groupBy("page_number").agg(F.min("first").alias("first"))), "page_number")  # once, however often a nation comes
+    bare = heads.select("page_number", F.array().cast("array<binary>").alias("ps"), "first")
     payloads = F.concat(F.array(F.col("first")), F.col("ps"), F.array(F.unhex(F.lit("00000000"))))
-    rows = bare.unionByName(filled).join(F.broadcast(nations), "page_number").select("page_number", "ps", first.alias("first")).select("page_number", payloads.alias("payloads"))
+    rows = bare.unionByName(filled).select("page_number", payloads.alias("payloads"))
     raw = settled(rows, "payloads").select("page_number", page("payloads", flags=0x1).alias("data"), F.lit(0x620).cast("long").alias("version"), F.lit(revision).cast("long").alias("revision"), F.lit(4096).cast("long").alias("page_size"))
     return tree_pages(decode_pages(settled(raw, "data")))
 
 
 def _root_headers(rows: DataFrame) -> DataFrame:
-    """What the pages of a number say: once where they agree."""
-    return rows.select("page_number", "kind", *(F.coalesce(F.col(f"root_header.{n}").cast("long"), F.lit(-1)).alias(n) for n in ("header_size", "number_of_pages", "parent_father_data_page", "extent_space", "space_tree_page_number")), F.coalesce("error", F.lit("-")).alias("error")).distinct()
+    """What the pages of a number say: where they agree once, or as often as there are roots without entries."""
+    said = rows.select("page_number", "kind", *(F.coalesce(F.col(f"root_header.{n}").cast("long"), F.lit(-1)).alias(n) for n in ("header_size", "number_of_pages", "parent_father_data_page", "extent_space", "space_tree_page_number")), F.coalesce("error", F.lit("-")).alias("error"), F.when(F.col("available_page_tag") == 2, 1).otherwise(0).alias("bare"))
+    names = [c for c in said.columns if c != "bare"]
+    times = said.groupBy(*names).agg(F.greatest(F.sum("bare"), F.lit(1)).cast("int").alias("n"))
+    return times.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("n")).select(*names)
 
 
 def root_header_16(spark, sf):

@@ -164,6 +164,19 @@ def test_roots_of_many_suppliers(spark, tmp_path, name):
     assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({Q.ORACLES[name]})").fetchall())
 
 
+@pytest.mark.parametrize("name", ["root_header_16", "root_header_25", "root_header_25_old"])
+def test_root_headers_of_odd_rows(spark, tmp_path, name):
+    """A nation that comes twice, one of two regions, one without suppliers; more suppliers than a page holds, and one without a key."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE nation AS SELECT * FROM (VALUES (0, 1), (0, 1), (1, 1), (1, 2), (2, 1)) t(n_nationkey, n_regionkey)")
+    con.sql("CREATE TABLE supplier AS SELECT i AS s_suppkey, i % 2 AS s_nationkey FROM range(1000) t(i) UNION ALL SELECT NULL, 1")
+    for t in ("nation", "supplier"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({Q.ORACLES[name]})").fetchall(), key=str)
+
+
 def three_pages(folder):
     image = bytearray(4096)
     for offset, value in ((8, 0x620), (232, 20), (236, 4096)):
